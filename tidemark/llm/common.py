@@ -6,7 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once a context, for clusters where it is not installed."""
+    context = spark.sparkContext
+    if not getattr(context, "_tidemark_sent", False):
+        folder = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = Path(__file__).resolve().parents[2]
+        with zipfile.ZipFile(f"{folder}/tidemark_llm.zip", "w") as out:
+            for path in (root / "tidemark/__init__.py", *sorted((root / "tidemark/llm").glob("*.py"))):
+                out.write(path, path.relative_to(root))
+        context.addPyFile(f"{folder}/tidemark_llm.zip")
+        context._tidemark_sent = True
+
+
 def materialize(df: DataFrame, name: str = "cut", compression: str = "zstd") -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: the lineage ends there and survives lost executors.
 
@@ -48,7 +64,8 @@ def materialize(df: DataFrame, name: str = "cut", compression: str = "zstd") ->
 
 
 def bounded_batches(spark: SparkSession, mb: int = 32) -> None:
-    """Limits an Arrow batch by bytes, so long texts do not add up to one huge batch."""
+    """Limits an Arrow batch by bytes, so long texts do not add up to one huge batch; and sends the package along."""
+    ship(spark)
     spark.conf.set(_BATCH, str(mb << 20))
 
 

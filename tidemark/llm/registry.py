@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lines, media, packing, secrets, urls
+from . import bpe, embeddings, lines, media, ngram_join, packing, secrets, suffixes, urls
+
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -14,6 +15,10 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_back(media.store(_docs(spark, sf_dir)))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_spans(_docs(spark, sf_dir)).drop("spans")
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -28,6 +33,14 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(_docs(spark, sf_dir), n=4, num=85, den=100)
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(_docs(spark, sf_dir))
 
@@ -39,5 +52,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op3_url_filters, op4_line_dedup, op6_byte_bpe, op9_secret_scans, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_suffix_dedup, op3_url_filters, op4_line_dedup, op6_byte_bpe, op7_embedding_near_dedup, op8_ngram_jaccard, op9_secret_scans, op10_packing)}
 ORACLE = {"op3_url_filters": urls.oracle(), "op4_line_dedup": lines.ORACLE}
