@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embeddings, lines, media, ngram_join, packing, secrets, suffixes, urls
+from . import bpe, embeddings, lines, media, ngram_join, packing, secrets, suffixes, toxicity, urls
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_lines(_docs(spark, sf_dir)).select("doc_id", "source", "n_lines", "n_dropped", "text")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -52,5 +56,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_suffix_dedup, op3_url_filters, op4_line_dedup, op6_byte_bpe, op7_embedding_near_dedup, op8_ngram_jaccard, op9_secret_scans, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_suffix_dedup, op3_url_filters, op4_line_dedup, op5_toxicity, op6_byte_bpe, op7_embedding_near_dedup, op8_ngram_jaccard, op9_secret_scans, op10_packing)}
 ORACLE = {"op3_url_filters": urls.oracle(), "op4_line_dedup": lines.ORACLE}
