@@ -200,30 +200,30 @@ def p29(spark, d):
 
 #: name: (columns of the query, the same in SQL), over impressions.
 _LISTS = {
-    "f01_list_length": ([F.size("inview").cast("long").alias("n"), F.size("clicked").cast("long").alias("k")], "len(inview) AS n, len(clicked) AS k"),
-    "f02_list_contains": ([L.contains("inview", 7).alias("constant"), L.contains("inview", F.col("user_id")).alias("other")], "coalesce(list_contains(inview, 7), false) AS constant, coalesce(list_contains(inview, user_id), false) AS other"),
-    "f03_share_of_constant": ([R6(L.share_of("inview", 11)).alias("share")], "CASE WHEN len(inview) > 0 THEN round(len(list_filter(inview, lambda x: x = 11))::DOUBLE / len(inview), 6) ELSE 0.0 END AS share"),
-    "f04_share_matching_column": ([R6(L.share_matching("inview", F.element_at("inview", 1))).alias("share")], "round((len(inview) - len(list_distinct(list_filter(inview, lambda x: x <> inview[1]))))::DOUBLE / len(inview), 6) AS share"),
-    "f05_list_shapes": ([L.text(F.array_sort(F.array_distinct("inview"))).alias("uniq"), L.text(F.reverse("inview")).alias("back"), F.element_at("inview", 1).alias("head"), F.element_at("inview", -1).alias("tail"), L.text(L.tail("inview", 3)).alias("tail3"), L.text(F.slice("inview", 2, 2)).alias("mid"), F.array_join("inview", "|").alias("joined")], "'[' || array_to_string(list_sort(list_distinct(inview)), ',') || ']' AS uniq, '[' || array_to_string(list_reverse(inview), ',') || ']' AS back, inview[1] AS head, inview[-1] AS tail, '[' || array_to_string(inview[greatest(len(inview) - 2, 1):], ',') || ']' AS tail3, '[' || array_to_string(inview[2:3], ',') || ']' AS mid, array_to_string(inview, '|') AS joined"),
-    "f06_keep_unique": ([L.text(F.array_distinct("inview")).alias("kept")], "(SELECT '[' || string_agg(x::VARCHAR, ',' ORDER BY p) || ']' FROM (SELECT x, min(p) AS p FROM (SELECT unnest(inview) AS x, generate_subscripts(inview, 1) AS p) GROUP BY x)) AS kept"),
-    "f07_drop_nulls": ([L.text(F.array_compact(F.transform("inview", lambda x: F.when(x % 3 != 0, x)))).alias("kept")], "'[' || array_to_string(list_filter(inview, lambda x: x % 3 <> 0), ',') || ']' AS kept"),
-    "f08_filter_by_ids": ([L.text(L.keep_in("inview", list(range(0, 400, 2)))).alias("kept")], "'[' || array_to_string(nullif(list_filter(inview, lambda x: x % 2 = 0 AND x < 400), []), ',') || ']' AS kept"),
-    "f09_list_aggregates": ([R6(L.total("inview")).alias("total"), R6(L.mean("inview")).alias("mean"), F.array_min("inview").alias("low"), F.array_max("inview").alias("high"), R6(L.deviation("inview")).alias("std")], "list_sum(inview)::DOUBLE AS total, round(list_avg(inview), 6) AS mean, list_min(inview) AS low, list_max(inview) AS high, round(list_aggregate(inview, 'stddev_samp'), 6) AS std"),
-    "f10_pad_history": ([L.text(L.pad_left("inview", 5, 0)).alias("padded")], "'[' || array_to_string(list_concat(list_resize([]::BIGINT[], greatest(5 - len(inview), 0), 0), inview[greatest(len(inview) - 4, 1):]), ',') || ']' AS padded"),
-    "f11_remove_positives": ([L.text(L.without("inview", "clicked")).alias("kept")], "'[' || array_to_string(list_filter(inview, lambda x: NOT list_contains(clicked, x)), ',') || ']' AS kept"),
-    "f12_binary_labels": ([L.text(L.labels("inview", "clicked")).alias("labels")], "'[' || array_to_string(list_transform(inview, lambda x: list_contains(clicked, x)::INTEGER), ',') || ']' AS labels"),
-    "f15_concat_struct": ([L.text(F.concat("inview", "clicked")).alias("both"), F.struct(F.size("inview").alias("n"), F.col("user_id").alias("u")).getField("u").alias("field")], "'[' || array_to_string(list_concat(inview, clicked), ',') || ']' AS both, user_id AS field"),
-    "f16_multi_hot": ([L.text(L.multi_hot("inview", [1, 2, 3, 4, 5])).alias("hot")], "'[' || array_to_string(list_transform([1, 2, 3, 4, 5], lambda v: list_contains(inview, v)::INTEGER), ',') || ']' AS hot"),
-    "f31_decay_weights": ([L.text(F.transform(L.linear_decay(F.size("inview")), lambda x: F.round(x * 1e6).cast("long"))).alias("linear"), L.text(F.transform(L.exponential_decay(F.size("inview"), 0.5), lambda x: F.round(x * 1e6).cast("long"))).alias("exponential")], "'[' || array_to_string(list_transform(range(len(inview)), lambda i: round((len(inview) - i)::DOUBLE / len(inview) * 1000000)::BIGINT), ',') || ']' AS linear, '[' || array_to_string(list_transform(range(len(inview)), lambda i: round(pow(0.5, len(inview) - i - 1) * 1000000)::BIGINT), ',') || ']' AS exponential"),
-    "f33_weighted_list": ([R6(F.aggregate(F.zip_with("inview", L.linear_decay(F.size("inview")), lambda x, w: x * w), F.lit(0.0), lambda s, x: s + x)).alias("weighted")], "round(list_sum(list_transform(range(len(inview)), lambda i: inview[i + 1] * ((len(inview) - i)::DOUBLE / len(inview)))), 6) AS weighted"),
-    "f36_jaccard": ([R6(L.jaccard("inview", "clicked")).alias("jaccard")], "round(len(list_intersect(inview, clicked))::DOUBLE / nullif(len(list_distinct(list_concat(inview, clicked))), 0), 6) AS jaccard"),
-    "u05_list_sets": ([L.text(F.array_sort(F.array_intersect("inview", "clicked"))).alias("both"), L.text(F.array_sort(F.array_union("inview", "clicked"))).alias("any"), L.text(F.array_sort(F.array_except("inview", "clicked"))).alias("rest")], "'[' || array_to_string(list_sort(list_intersect(inview, clicked)), ',') || ']' AS both, '[' || array_to_string(list_sort(list_distinct(list_concat(inview, clicked))), ',') || ']' AS any, '[' || array_to_string(list_sort(list_distinct(list_filter(inview, lambda x: NOT list_contains(clicked, x)))), ',') || ']' AS rest"),
-    "w27_list_index": ([L.text(F.transform("inview", lambda x, i: i)).alias("places")], "'[' || array_to_string(range(len(inview)), ',') || ']' AS places"),
+    "f01_list_length": (lambda: [F.size("inview").cast("long").alias("n"), F.size("clicked").cast("long").alias("k")], "len(inview) AS n, len(clicked) AS k"),
+    "f02_list_contains": (lambda: [L.contains("inview", 7).alias("constant"), L.contains("inview", F.col("user_id")).alias("other")], "coalesce(list_contains(inview, 7), false) AS constant, coalesce(list_contains(inview, user_id), false) AS other"),
+    "f03_share_of_constant": (lambda: [R6(L.share_of("inview", 11)).alias("share")], "CASE WHEN len(inview) > 0 THEN round(len(list_filter(inview, lambda x: x = 11))::DOUBLE / len(inview), 6) ELSE 0.0 END AS share"),
+    "f04_share_matching_column": (lambda: [R6(L.share_matching("inview", F.element_at("inview", 1))).alias("share")], "round((len(inview) - len(list_distinct(list_filter(inview, lambda x: x <> inview[1]))))::DOUBLE / len(inview), 6) AS share"),
+    "f05_list_shapes": (lambda: [L.text(F.array_sort(F.array_distinct("inview"))).alias("uniq"), L.text(F.reverse("inview")).alias("back"), F.element_at("inview", 1).alias("head"), F.element_at("inview", -1).alias("tail"), L.text(L.tail("inview", 3)).alias("tail3"), L.text(F.slice("inview", 2, 2)).alias("mid"), F.array_join("inview", "|").alias("joined")], "'[' || array_to_string(list_sort(list_distinct(inview)), ',') || ']' AS uniq, '[' || array_to_string(list_reverse(inview), ',') || ']' AS back, inview[1] AS head, inview[-1] AS tail, '[' || array_to_string(inview[greatest(len(inview) - 2, 1):], ',') || ']' AS tail3, '[' || array_to_string(inview[2:3], ',') || ']' AS mid, array_to_string(inview, '|') AS joined"),
+    "f06_keep_unique": (lambda: [L.text(F.array_distinct("inview")).alias("kept")], "(SELECT '[' || string_agg(x::VARCHAR, ',' ORDER BY p) || ']' FROM (SELECT x, min(p) AS p FROM (SELECT unnest(inview) AS x, generate_subscripts(inview, 1) AS p) GROUP BY x)) AS kept"),
+    "f07_drop_nulls": (lambda: [L.text(F.array_compact(F.transform("inview", lambda x: F.when(x % 3 != 0, x)))).alias("kept")], "'[' || array_to_string(list_filter(inview, lambda x: x % 3 <> 0), ',') || ']' AS kept"),
+    "f08_filter_by_ids": (lambda: [L.text(L.keep_in("inview", list(range(0, 400, 2)))).alias("kept")], "'[' || array_to_string(nullif(list_filter(inview, lambda x: x % 2 = 0 AND x < 400), []), ',') || ']' AS kept"),
+    "f09_list_aggregates": (lambda: [R6(L.total("inview")).alias("total"), R6(L.mean("inview")).alias("mean"), F.array_min("inview").alias("low"), F.array_max("inview").alias("high"), R6(L.deviation("inview")).alias("std")], "list_sum(inview)::DOUBLE AS total, round(list_avg(inview), 6) AS mean, list_min(inview) AS low, list_max(inview) AS high, round(list_aggregate(inview, 'stddev_samp'), 6) AS std"),
+    "f10_pad_history": (lambda: [L.text(L.pad_left("inview", 5, 0)).alias("padded")], "'[' || array_to_string(list_concat(list_resize([]::BIGINT[], greatest(5 - len(inview), 0), 0), inview[greatest(len(inview) - 4, 1):]), ',') || ']' AS padded"),
+    "f11_remove_positives": (lambda: [L.text(L.without("inview", "clicked")).alias("kept")], "'[' || array_to_string(list_filter(inview, lambda x: NOT list_contains(clicked, x)), ',') || ']' AS kept"),
+    "f12_binary_labels": (lambda: [L.text(L.labels("inview", "clicked")).alias("labels")], "'[' || array_to_string(list_transform(inview, lambda x: list_contains(clicked, x)::INTEGER), ',') || ']' AS labels"),
+    "f15_concat_struct": (lambda: [L.text(F.concat("inview", "clicked")).alias("both"), F.struct(F.size("inview").alias("n"), F.col("user_id").alias("u")).getField("u").alias("field")], "'[' || array_to_string(list_concat(inview, clicked), ',') || ']' AS both, user_id AS field"),
+    "f16_multi_hot": (lambda: [L.text(L.multi_hot("inview", [1, 2, 3, 4, 5])).alias("hot")], "'[' || array_to_string(list_transform([1, 2, 3, 4, 5], lambda v: list_contains(inview, v)::INTEGER), ',') || ']' AS hot"),
+    "f31_decay_weights": (lambda: [L.text(F.transform(L.linear_decay(F.size("inview")), lambda x: F.round(x * 1e6).cast("long"))).alias("linear"), L.text(F.transform(L.exponential_decay(F.size("inview"), 0.5), lambda x: F.round(x * 1e6).cast("long"))).alias("exponential")], "'[' || array_to_string(list_transform(range(len(inview)), lambda i: round((len(inview) - i)::DOUBLE / len(inview) * 1000000)::BIGINT), ',') || ']' AS linear, '[' || array_to_string(list_transform(range(len(inview)), lambda i: round(pow(0.5, len(inview) - i - 1) * 1000000)::BIGINT), ',') || ']' AS exponential"),
+    "f33_weighted_list": (lambda: [R6(F.aggregate(F.zip_with("inview", L.linear_decay(F.size("inview")), lambda x, w: x * w), F.lit(0.0), lambda s, x: s + x)).alias("weighted")], "round(list_sum(list_transform(range(len(inview)), lambda i: inview[i + 1] * ((len(inview) - i)::DOUBLE / len(inview)))), 6) AS weighted"),
+    "f36_jaccard": (lambda: [R6(L.jaccard("inview", "clicked")).alias("jaccard")], "round(len(list_intersect(inview, clicked))::DOUBLE / nullif(len(list_distinct(list_concat(inview, clicked))), 0), 6) AS jaccard"),
+    "u05_list_sets": (lambda: [L.text(F.array_sort(F.array_intersect("inview", "clicked"))).alias("both"), L.text(F.array_sort(F.array_union("inview", "clicked"))).alias("any"), L.text(F.array_sort(F.array_except("inview", "clicked"))).alias("rest")], "'[' || array_to_string(list_sort(list_intersect(inview, clicked)), ',') || ']' AS both, '[' || array_to_string(list_sort(list_distinct(list_concat(inview, clicked))), ',') || ']' AS any, '[' || array_to_string(list_sort(list_distinct(list_filter(inview, lambda x: NOT list_contains(clicked, x)))), ',') || ']' AS rest"),
+    "w27_list_index": (lambda: [L.text(F.transform("inview", lambda x, i: i)).alias("places")], "'[' || array_to_string(range(len(inview)), ',') || ']' AS places"),
 }
 
 
 def _list_query(columns):
-    return lambda spark, d: impressions(spark, d).select("impression_id", *columns)
+    return lambda spark, d: impressions(spark, d).select("impression_id", *columns())
 
 
 for _name, (_columns, _sql) in _LISTS.items():
