@@ -11,7 +11,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import bounded_batches, slices
+from .common import bounded_batches, slices, worker_cache
 
 LEAF, MEMORY = 24, 400_000
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -105,14 +105,9 @@ class Memo(dict):
         return found
 
 
-_loaded: dict[tuple[str, str], tuple] = {}
-
-
 def loaded(path: str, pattern: str) -> tuple:
     """Once a worker: the compiled pattern and the memo."""
-    if (path, pattern) not in _loaded:
-        _loaded[path, pattern] = regex.compile(pattern), Memo(TreeBPE(load_ranks(path)))
-    return _loaded[path, pattern]
+    return worker_cache(("bpe", path, pattern), lambda: (regex.compile(pattern), Memo(TreeBPE(load_ranks(path)))))
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

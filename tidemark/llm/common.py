@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -14,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField, StructType
 
 CHECKPOINT = "spark.checkpoint.dir"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -63,13 +67,28 @@ def materialize(df: DataFrame, name: str = "cut", compression: str = "zstd") ->
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, mb: int = 32) -> None:
+def bounded_batches(spark: SparkSession, mb: int = 8) -> None:
     """Limits an Arrow batch by bytes, so long texts do not add up to one huge batch; and sends the package along."""
     ship(spark)
     spark.conf.set(_BATCH, str(mb << 20))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+_slot: list = [None, None]
+
+
+def worker_cache(key, build):
+    """What a worker keeps between tasks: one object, so that operators that follow each other in it do not add up."""
+    if _slot[0] != key:
+        _slot[:] = None, None
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+        _slot[:] = key, build()
+    return _slot[1]
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Cuts batches where the given string or binary column passes `limit` bytes; a row is never split."""
     for batch in batches:
         if not batch.num_rows:
@@ -82,6 +101,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 21)
                 yield batch.slice(a, b - a)
 
 
+def map_rows(docs: DataFrame, run, more: tuple[StructField, ...] = ()) -> DataFrame:
+    """docs through `run` (batches to batches), with all its columns and those in `more`; names may hold dots or repeat what `run` uses."""
+    bounded_batches(docs.sparkSession)
+    fields = [StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)]
+    out = docs.toDF(*(f.name for f in fields)).mapInArrow(run, StructType([*fields, *more]))
+    return out.toDF(*docs.columns, *(f.name for f in more))
+
+
 def texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
     """The UTF-8 bytes of a string column; null counts as empty."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]

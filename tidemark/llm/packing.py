@@ -2,50 +2,106 @@
 
 from __future__ import annotations
 
+import json
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, slices
+from .common import bounded_batches, slices, worker_cache
 
 LONGEST, END, MEMORY = 2048, 1, 300_000
-#: White space in Python that the tokenizer's pattern does not take for it; texts with these go to the library as they are.
-ODD = frozenset("\x1c\x1d\x1e\x1f")
+#: White space in Python that the tokenizer's pattern does not take for it, and what stands for a word's end below; texts with these go to
+#: the library as they are.
+ODD = frozenset("\x1c\x1d\x1e\x1f\0")
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("bucket", pa.int32()), ("ids", pa.binary())])
-_loaded: dict[str, tuple] = {}
 
 
-def loaded(path: str) -> tuple:
-    if path not in _loaded:
+class Words:
+    """Ids of runs without white space, remembered within a bounded memory.
+
+    The tokenizer's pattern never crosses white space, so each run can be encoded apart. A run that is new is cut by the pattern, and all new ones of a
+    batch are merged in one call: the vocabulary's merges as ranks of bytes, with a zero byte for a word's end. The vocabulary file gives
+    pattern, merges and ids; a file of another shape, or a text with odd characters, goes to the library as it is.
+    """
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        _loaded[path] = tokenizer, {}
-    return _loaded[path]
-
-
-def encode(text: str, path: str) -> bytes:
-    """Ids as little-endian 32-bit words. The tokenizer's pattern never crosses white space, so each run of other
-    characters is encoded once and remembered, within a bounded memory."""
-    tokenizer, memo = loaded(path)
-    if not ODD.isdisjoint(text):
-        return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    words = text.split()
-    new = [w for w in set(words) if w not in memo]
-    if new:
-        if len(memo) + len(new) > MEMORY:
-            memo.clear()
-            new = list(set(words))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for word, found in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                memo[word] = np.asarray(found.ids, "<u4").tobytes()
-    return b"".join([memo[w] for w in words])
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.memo: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            self.fast = self.ranked(json.load(f))
+
+    def ranked(self, file: dict) -> bool:
+        """Prepares the merges; False if the file is not a lower-casing byte-level BPE with word ends."""
+        import tiktoken
+
+        model, steps = file["model"], [n["type"] for n in (file["normalizer"] or {}).get("normalizers", [])]
+        cutter = (file["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        if model["type"] != "BPE" or model["end_of_word_suffix"] != "</w>" or steps != ["NFC", "Replace", "Lowercase"] or cutter[0].get("type") != "Split" or not cutter[0].get("invert"):
+            return False
+        plain = {c: bytes([b]) for b, c in byte_characters().items()}
+        raw = lambda t: b"".join(plain[c] for c in t.removesuffix("</w>")) + b"\0" * t.endswith("</w>")
+        vocab = model["vocab"]
+        ranks = {bytes([b]): b for b in range(256)} | {bytes([b, 0]): 256 + b for b in range(256)}
+        self.ids = np.zeros(512 + len(model["merges"]), np.uint32)
+        for b, c in byte_characters().items():
+            self.ids[b], self.ids[256 + b] = vocab[c], vocab[c + "</w>"]
+        for i, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"]):
+            token = raw(a) + raw(b)
+            if token in ranks:
+                return False
+            ranks[token] = 512 + i
+            self.ids[512 + i] = vocab[a + b]
+        self.cut = regex.compile(cutter[0]["pattern"]["Regex"] + "| ")
+        self.bpe = tiktoken.Encoding("words", pat_str="[^\\x00]*\\x00", mergeable_ranks=ranks, special_tokens={})
+        return True
+
+    def learn(self, words: set[str]) -> None:
+        """Puts what the words lack into the memo, which is emptied first where it would grow past MEMORY."""
+        new = [w for w in words if w not in self.memo]
+        if len(self.memo) + len(new) > MEMORY:
+            self.memo.clear()
+            new = list(words)
+        for i in range(0, len(new), 8192):
+            part = new[i : i + 8192]
+            text = unicodedata.normalize("NFC", " ".join(part)).replace("\u03a3", "\u03c3").lower()
+            found = np.array(self.bpe.encode_ordinary("\0".join(self.cut.findall(text)) + "\0"), np.uint32)
+            # A space is a piece of its own, so its id marks where the next run begins.
+            ends = np.flatnonzero(found == 256 + 32).tolist()
+            ids = memoryview(self.ids[found].astype("<u4").tobytes())
+            start = 0
+            for word, end in zip(part, [*ends, len(found)], strict=True):
+                self.memo[word] = bytes(ids[4 * start : 4 * end])
+                start = end + 1
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """Each text's ids as little-endian 32-bit words."""
+        words = [t.split() if self.fast and ODD.isdisjoint(t) else None for t in texts]
+        self.learn(set().union(*(w for w in words if w)))
+        for text, own in zip(texts, words, strict=True):
+            if own is None:
+                yield np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                yield b"".join([self.memo[w] for w in own])
+
+
+def byte_characters() -> dict[int, str]:
+    """The printable character that byte-level vocabularies write for each byte: itself where it prints in Latin-1, else 256 and on in order."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+def encode(texts: list[str], path: str) -> Iterator[bytes]:
+    return worker_cache(("packing", path), lambda: Words(path)).encode(texts)
 
 
 def binary_pieces(n: int, longest: int = LONGEST) -> list[int]:
@@ -65,8 +121,9 @@ def pieces(docs: DataFrame, path: str, with_ids: bool = True, id_col: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 22):
             keys, starts, lengths, sums, totals, ids = [], [], [], [], [], []
-            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words = memoryview(encode(text or "", path) + END.to_bytes(4, "little"))
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for key, found in zip(batch.column("doc_id").to_pylist(), encode(texts, path), strict=True):
+                words = memoryview(found + END.to_bytes(4, "little"))
                 total, start = len(words) // 4, 0
                 for n in binary_pieces(total):
                     piece = words[4 * start : 4 * (start + n)]
