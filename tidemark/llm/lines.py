@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 #: Share of a site's pages from which a line is boilerplate, and the pages that must hold it at least.
 RATIO, LEAST = 0.05, 3
-KEY = "__row"
 
 
 def _lines(text: Column) -> Column:
@@ -24,24 +23,24 @@ def drop_lines(docs: DataFrame, ratio: float = RATIO, least: int = LEAST, site_c
 
     A line goes where pages of the site that hold it / all pages of the site >= ratio and at least `least` pages hold it. Null
     sites are one site. Blank lines are never counted or dropped. Null text stays null, with 0 lines. Rows of equal id are pages of
-    their own. (site, line) pairs are counted with map-side sums, so a site with a third of all pages is one
+    their own. Columns n_lines and n_dropped of docs are replaced. (site, line) pairs are counted with map-side sums, so a site with a third of all pages is one
     row a line and task; texts are shuffled once, to meet the numbers of the lines to drop.
     """
-    spare = [c for c in docs.columns if c not in (KEY,)]
-    rows = docs.select(*(F.col(f"`{c}`") for c in spare)).withColumn(KEY, F.monotonically_increasing_id())
-    site = F.coalesce(F.col(site_col).cast("string"), F.lit("\0null"))
-    cut = rows.select(KEY, site.alias("site"), F.posexplode(F.transform(_lines(F.col(text_col)), lambda x: F.when(_key(x) != "", F.struct(F.xxhash64(_key(x)).alias("a"), F.hash(_key(x)).alias("b"))))).alias("at", "line"))
-    cut = cut.where("line is not null").select(KEY, "site", "at", "line.a", "line.b")
-    pages = rows.select(site.alias("site")).groupBy("site").agg(F.count("*").alias("pages"))
-    # A page counts a line once: its first place only.
-    held = cut.select("site", "a", "b", KEY).distinct().groupBy("site", "a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    text = F.col(f"`{text_col}`")
+    # Whole rows travel as one struct, so no column of theirs can clash with those used here.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), text.alias("text"), F.coalesce(F.col(f"`{site_col}`").cast("string"), F.lit("\0null")).alias("site"), F.monotonically_increasing_id().alias("key"))
+    cut = rows.select("key", "site", F.posexplode(F.transform(_lines(F.col("text")), lambda x: F.when(_key(x) != "", F.struct(F.xxhash64(_key(x)).alias("a"), F.hash(_key(x)).alias("b"))))).alias("at", "line"))
+    cut = cut.where("line is not null").select("key", "site", "at", "line.a", "line.b")
+    pages = rows.groupBy("site").agg(F.count("*").alias("pages"))
+    # A page counts a line once.
+    held = cut.select("site", "a", "b", "key").distinct().groupBy("site", "a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     common = held.join(pages, "site").where(F.col("n") >= ratio * F.col("pages")).select("site", "a", "b")
-    gone = cut.join(common, ["site", "a", "b"]).groupBy(KEY).agg(F.collect_set("at").alias("gone"))
-    kept = F.array_join(F.filter(_lines(F.col(text_col)), lambda x, i: ~F.array_contains("gone", i)), "\n")
-    out = rows.join(gone, KEY, "left")
-    text = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(kept)
-    extra = [F.coalesce(F.size(_lines(F.col(text_col))), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped")]
-    return out.select(*(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in spare), *extra)
+    gone = cut.join(common, ["site", "a", "b"]).groupBy("key").agg(F.collect_set("at").alias("gone"))
+    out = rows.select("row", "text", "key").join(gone, "key", "left")
+    kept = F.array_join(F.filter(_lines(F.col("text")), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    new = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
+    made = {"n_lines": F.coalesce(F.size(_lines(F.col("text"))), F.lit(0)).cast("long"), "n_dropped": F.coalesce(F.size("gone"), F.lit(0)).cast("long")}
+    return out.select(*(new.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns if c not in made), *(c.alias(n) for n, c in made.items()))
 
 
 ORACLE = f"""WITH l AS (SELECT doc_id, coalesce(source, chr(1)) AS site, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents WHERE text IS NOT NULL),

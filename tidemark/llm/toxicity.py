@@ -13,9 +13,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StructField
 
-from .common import bounded_batches, slices
+from .common import map_rows, worker_cache
 
 #: The classifier is fitted on at most so many labelled rows of a class (in the order of their ids' hash), each of at most so many characters.
 FIT_TOXIC, FIT_ORDINARY, FIT_CHARS = 1500, 3000, 32_000
@@ -25,7 +25,7 @@ VIEWS, LONGEST, REPEAT = (0, 4, 5, 6), 32, 3
 DICTIONARY, LEVEL, SAVED = 32_768, 6, (3, 4, 5, 6)
 FOLDS = 5
 PUNCTUATION = ".,;:!?\"'()[]|<>{}#*-_/"
-MEMORY = 400_000
+MEMORY = 300_000
 
 
 def window(word: str) -> bytes:
@@ -91,7 +91,7 @@ class Windows(dict):
                     x = window(part)
                     saved = len(ordinary.compress(x)) - len(toxic.compress(x))
                     passed = sum(1 << k for k, s in enumerate(SAVED) if saved >= s)
-                    if len(memo) >= MEMORY:
+                    if len(memo) >= MEMORY // 3:
                         memo.clear()
                     memo[part] = passed
                 bits |= passed << (len(SAVED) * i)
@@ -148,38 +148,30 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([r["text"] for r in rows if r["toxic"]], [r["text"] for r in rows if not r["toxic"]])
 
 
-_windows: list = []
-
-
-def _scored(batches: Iterator[pa.RecordBatch], model: Model | None, place: int) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], model: Model | None, place: int, name: str) -> Iterator[pa.RecordBatch]:
     windows = None
-    for batch in slices(batches, "text", 1 << 23):
+    for batch in batches:
         got = batch.column(place).to_pylist()
-        if model is None:
+        if model is None or not got:
             score = np.zeros(len(got))
         else:
             if windows is None:
-                # A worker keeps the last model's windows for its next task.
-                if not _windows or _windows[0] != model.dictionaries:
-                    _windows[:] = model.dictionaries, Windows(model)
-                windows = _windows[1]
+                windows = worker_cache(("toxicity", model.dictionaries), lambda: Windows(model))
             score = model.score(np.array([windows.features(tokens(t)) for t in got]))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*batch.schema.names, "__score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*batch.schema.names, name])
 
 
-def with_score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """docs with a column __score, 0 to 1. Null and empty texts get the score of no words; without a model every score is 0."""
-    bounded_batches(docs.sparkSession)
-    place = docs.columns.index(text_col)
-    plain = docs.withColumnRenamed(text_col, "text") if text_col != "text" else docs
-    schema = StructType([*plain.schema.fields, StructField("__score", DoubleType())])
-    out = plain.mapInArrow(partial(_scored, model=model, place=place), schema)
-    return out.withColumnRenamed("text", text_col) if text_col != "text" else out
+def with_score(docs: DataFrame, model: Model | None, name: str, text_col: str = "text") -> DataFrame:
+    """docs with a column `name`, 0 to 1. Null and empty texts get the score of no words; without a model every score is 0."""
+    if name in docs.columns:
+        raise ValueError(f"{name} is a column already")
+    run = partial(_scored, model=model, place=docs.columns.index(text_col), name=name)
+    return map_rows(docs, run, (StructField(name, DoubleType()),))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted) a row; rows of equal id are scored each; a null id is not held out."""
     model = learn(docs, labels, id_col, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = with_score(rows, model)
-    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+    out = with_score(rows, model, "score")
+    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

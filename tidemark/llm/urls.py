@@ -39,8 +39,8 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
 
     The tree: a path's first segments, with digit runs as '*', under its host. A segment that follows one of VARIABLE or
     more distinct values under the same parent becomes '*' too. Urls that a rule decides are the labelled ones. Sibling
-    templates whose own smoothed purities fall in the same band merge, and a merged template is rejected if its smoothed
-    share of blocked urls reaches REJECT. Templates without labels take the prior, so what nobody has judged passes. Counts are
+    templates with labels whose own smoothed purities fall in the same band merge, and a merged template is rejected if its smoothed
+    share of blocked urls reaches REJECT. Templates without labels pass. Counts are
     combined before each shuffle and joined back on (host, template), never gathered per host.
     """
     host, path = split_url(F.col("url"))
@@ -62,11 +62,12 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     own = tree.groupBy("host", "t1", "template").agg(F.sum("bad").alias("bad"), F.sum("known").alias("known")).crossJoin(F.broadcast(prior))
     smoothed = lambda bad, known: (F.col(bad) + WEIGHT * F.col("prior")) / (F.col(known) + WEIGHT)
     own = own.withColumn("band", F.floor(smoothed("bad", "known") * BANDS))
+    own = own.where("known > 0")
     merged = own.groupBy("host", "t1", "band").agg(F.sum("bad").alias("m_bad"), F.sum("known").alias("m_known"), F.first("prior").alias("prior"))
     purity = merged.select("host", "t1", "band", smoothed("m_bad", "m_known").alias("purity"))
     verdicts = own.join(purity, ["host", "t1", "band"]).select("host", "template", "purity")
     keys = ["host", *(f"s{i}" for i in range(1, DEPTH + 1))]
-    judged = tree.join(verdicts, ["host", "template"]).select(*keys, "template", "purity")
+    judged = tree.join(verdicts, ["host", "template"], "left").select(*keys, "template", "purity")
     out = base.join(judged, keys)
     final = F.coalesce("ruled", F.when(F.col("purity") >= REJECT, F.lit("block")).otherwise(F.lit("allow")))
     return out.select("page_id", "host", "path", "rule", final.alias("verdict"), "template", F.round("purity", 6).alias("purity"))
@@ -94,8 +95,8 @@ shapes AS (SELECT host, {s}, count(*) AS n, count(*) FILTER (WHERE ruled = 'bloc
 t0 AS (SELECT *, {", ".join(f"s{i} AS t{i}" for i in range(1, DEPTH + 1))} FROM shapes), {", ".join(levels)},
 tree AS (SELECT *, concat_ws('/', {", ".join(f"t{i}" for i in range(1, DEPTH + 1))}) AS template FROM {last}),
 prior AS (SELECT coalesce(sum(bad)::DOUBLE / nullif(sum(known), 0), 0.0) AS prior FROM shapes),
-own AS (SELECT *, floor((bad + {WEIGHT} * prior) / (known + {WEIGHT}) * {BANDS}) AS band FROM (SELECT host, t1, template, sum(bad)::DOUBLE AS bad, sum(known)::DOUBLE AS known FROM tree GROUP BY ALL), prior),
+own AS (SELECT *, floor((bad + {WEIGHT} * prior) / (known + {WEIGHT}) * {BANDS}) AS band FROM (SELECT host, t1, template, sum(bad)::DOUBLE AS bad, sum(known)::DOUBLE AS known FROM tree GROUP BY ALL HAVING sum(known) > 0), prior),
 merged AS (SELECT host, t1, band, (sum(bad) + {WEIGHT} * any_value(prior)) / (sum(known) + {WEIGHT}) AS purity FROM own GROUP BY ALL),
-judged AS (SELECT tree.host, {", ".join(f"tree.s{i}" for i in range(1, DEPTH + 1))}, tree.template, purity FROM tree JOIN own USING (host, template) JOIN merged ON merged.host = own.host AND merged.t1 = own.t1 AND merged.band = own.band)
+judged AS (SELECT tree.host, {", ".join(f"tree.s{i}" for i in range(1, DEPTH + 1))}, tree.template, purity FROM tree LEFT JOIN own ON own.host = tree.host AND own.template = tree.template LEFT JOIN merged ON merged.host = own.host AND merged.t1 = own.t1 AND merged.band = own.band)
 SELECT page_id, base.host, path, rule, coalesce(ruled, CASE WHEN purity >= {REJECT} THEN 'block' ELSE 'allow' END) AS verdict, template, round(purity, 6) AS purity
 FROM base JOIN judged ON base.host = judged.host AND {" AND ".join(f"base.s{i} = judged.s{i}" for i in range(1, DEPTH + 1))}"""
