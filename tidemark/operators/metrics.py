@@ -11,25 +11,27 @@ def auc(df: DataFrame, by: list[str], score: str, label: str, name: str = "auc")
     """V1: per group by average ranks: (sum of positives' ranks - P(P+1)/2) / (P N); groups of one class are left out."""
     w = W.partitionBy(*by)
     rank = F.rank().over(w.orderBy(score)) + (F.count("*").over(W.partitionBy(*by, score)) - 1) / 2
-    r = df.withColumn("__r", rank).groupBy(*by).agg(F.sum(F.when(F.col(label) == 1, F.col("__r"))).alias("s"), F.sum(label).alias("p"), F.count("*").alias("n"))
-    p, n = F.col("p"), F.col("n") - F.col("p")
-    return r.where((p > 0) & (n > 0)).select(*by, ((F.col("s") - p * (p + 1) / 2) / (p * n)).alias(name))
+    r = df.withColumn("__r", rank).groupBy(*by).agg(F.sum(F.when(F.col(label) == 1, F.col("__r"))).alias("__s"), F.sum(label).alias("__p"), F.count("*").alias("__n"))
+    p, n = F.col("__p"), F.col("__n") - F.col("__p")
+    return r.where((p > 0) & (n > 0)).select(*by, ((F.col("__s") - p * (p + 1) / 2) / (p * n)).alias(name))
+
+
+def _pairs(levels: DataFrame, by: list[str], score: str, ties: float, name: str) -> DataFrame:
+    """From positive and negative weight at each score: the weight of ordered pairs over that of all."""
+    below = F.coalesce(F.sum("__n").over(W.partitionBy(*by).orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    s = levels.withColumn("__w", F.col("__p") * (below + F.col("__n") * ties)).groupBy(*by).agg(*(F.sum(c).alias(c) for c in ("__w", "__p", "__n")))
+    return s.where("__p > 0 and __n > 0").select(*by, (F.col("__w") / (F.col("__p") * F.col("__n"))).alias(name))
 
 
 def weighted_auc(df: DataFrame, by: list[str], score: str, label: str, weight: str, name: str = "auc") -> DataFrame:
     """V2: weight of (positive above negative) pairs, ties half, over the product of weights; by cumulative sums over distinct scores."""
-    levels = df.groupBy(*by, score).agg(F.sum(F.when(F.col(label) == 1, F.col(weight)).otherwise(0.0)).alias("p"), F.sum(F.when(F.col(label) == 0, F.col(weight)).otherwise(0.0)).alias("n"))
-    below = F.coalesce(F.sum("n").over(W.partitionBy(*by).orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    s = levels.withColumn("w", F.col("p") * (below + F.col("n") / 2)).groupBy(*by).agg(F.sum("w").alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n"))
-    return s.where("p > 0 and n > 0").select(*by, (F.col("w") / (F.col("p") * F.col("n"))).alias(name))
+    side = lambda k: F.sum(F.when(F.col(label) == k, F.col(weight)).otherwise(0.0))
+    return _pairs(df.groupBy(*by, score).agg(side(1).alias("__p"), side(0).alias("__n")), by, score, 0.5, name)
 
 
 def strict_auc(df: DataFrame, by: list[str], score: str, label: str, name: str = "auc") -> DataFrame:
     """V3: only strictly ordered pairs count."""
-    levels = df.groupBy(*by, score).agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("n"))
-    below = F.coalesce(F.sum("n").over(W.partitionBy(*by).orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    s = levels.withColumn("w", F.col("p") * below).groupBy(*by).agg(F.sum("w").alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n"))
-    return s.where("p > 0 and n > 0").select(*by, (F.col("w") / (F.col("p") * F.col("n"))).alias(name))
+    return _pairs(df.groupBy(*by, score).agg(F.sum(label).alias("__p"), F.sum(1 - F.col(label)).alias("__n")), by, score, 0.0, name)
 
 
 def ranked(df: DataFrame, by: list[str], score: str, ties: list[str], name: str = "rank") -> DataFrame:

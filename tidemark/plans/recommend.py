@@ -88,12 +88,12 @@ def e08(spark, d):
     return x.groupBy("user_id", "article").agg(R6(F.avg("x")).alias("mean"), R6(F.max("x")).alias("high"), R6(F.min("x")).alias("low"), R6(F.median("x")).alias("mid"), R6(F.avg(F.when(F.col("rn") <= 3, F.col("x")))).alias("mean_tail"))
 
 
-@q("e09_e10_weighted_scores", ctes("clicks") + ", w AS (SELECT user_id, article, impression_id, seller, price, sqrt(quantity) AS a, (quantity - min(quantity) OVER u) / nullif(max(quantity) OVER u - min(quantity) OVER u, 0) AS b, 1 / (sqrt(date_sub('hour', ts, max(ts) OVER u)) + 1) AS c FROM clicks WINDOW u AS (PARTITION BY user_id)) SELECT user_id, impression_id, article, seller, round(price / 7 * a / sum(a) OVER (PARTITION BY user_id), 4) AS a, round(price / 7 * b / nullif(sum(b) OVER (PARTITION BY user_id), 0), 4) AS b, round(price / 7 * c / sum(c) OVER (PARTITION BY user_id), 4) AS c FROM w")
+@q("e09_e10_weighted_scores", ctes("clicks") + ", w AS (SELECT user_id, article, impression_id, seller, price, sqrt(quantity) AS a, (quantity - min(quantity) OVER u) / nullif(max(quantity) OVER u - min(quantity) OVER u, 0) AS b, 1 / (sqrt(date_sub('hour', ts, max(ts) OVER u)) + 1) AS c FROM clicks WINDOW u AS (PARTITION BY user_id)) SELECT user_id, impression_id, article, seller, round(price * 0.7390851 * a / sum(a) OVER (PARTITION BY user_id), 4) AS a, round(price * 0.7390851 * b / nullif(sum(b) OVER (PARTITION BY user_id), 0), 4) AS b, round(price * 0.7390851 * c / sum(c) OVER (PARTITION BY user_id), 4) AS c FROM w")
 def e09(spark, d):
     u = W.partitionBy("user_id")
     low, high = F.min("quantity").over(u), F.max("quantity").over(u)
     w = clicks(spark, d).withColumns({"a": F.sqrt("quantity"), "b": F.try_divide(F.col("quantity") - low, high - low), "c": 1 / (F.sqrt(F.timestamp_diff("HOUR", F.col("ts"), F.max("ts").over(u))) + 1)})
-    return w.select("user_id", "impression_id", "article", "seller", *(F.round(F.try_divide(F.col("price") / 7 * F.col(k), F.sum(k).over(u)), 4).alias(k) for k in "abc"))
+    return w.select("user_id", "impression_id", "article", "seller", *(F.round(F.try_divide(F.col("price") * 0.7390851 * F.col(k), F.sum(k).over(u)), 4).alias(k) for k in "abc"))
 
 
 @q("e12_merged_distances", _HIST + ", s AS (SELECT user_id, article, avg(s) AS c, avg(dp) AS dp FROM p GROUP BY ALL), m AS (SELECT *, (c - min(c) OVER ()) / (max(c) OVER () - min(c) OVER ()) AS a, (dp - min(dp) OVER ()) / (max(dp) OVER () - min(dp) OVER ()) AS b FROM s) SELECT user_id, article, round((a + b) / 2, 6) AS mean, round(least(a, b), 6) AS low, round(greatest(a, b), 6) AS high FROM m")
