@@ -22,7 +22,7 @@ def duck():
 
 def plain(x):
     if isinstance(x, float):
-        return "nan" if math.isnan(x) else repr(round(x, 9))
+        return "nan" if math.isnan(x) else repr(round(x, 9) + 0.0)
     return repr(x)
 
 

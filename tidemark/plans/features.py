@@ -284,7 +284,7 @@ def q35(spark, d):
     return x.select(*CAND, R6(N.norm_max("s", "impression_id")).alias("score"))
 
 
-@q("q36_emotion_history_mean", ctes("clicks") + ", l AS (SELECT user_id, generate_subscripts(embedding[1:6], 1) - 1 AS pos, unnest(embedding[1:6])::DOUBLE AS x FROM clicks JOIN embeddings ON vec_id = article) SELECT user_id, pos::INTEGER AS pos, round(avg(x), 6) AS x FROM l GROUP BY ALL")
+@q("q36_emotion_history_mean", ctes("clicks") + ", l AS (SELECT user_id, generate_subscripts(embedding[1:6], 1) - 1 AS pos, unnest(embedding[1:6])::DOUBLE AS x FROM clicks JOIN embeddings ON vec_id = article) SELECT user_id, pos::INTEGER AS pos, round(avg(x), 6) + 0.0 AS x FROM l GROUP BY ALL")
 def q36(spark, d):
     from ..sources.tables import vectors
 

@@ -33,7 +33,7 @@ def _small(spark, d):
 _SMALL = "x AS (SELECT l_suppkey AS row, p_size::BIGINT AS col, sum(l_quantity) AS value FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_partkey % 3 = 0 GROUP BY ALL)"
 
 
-@q("e01_mean_user_embedding", ctes("clicks", "vec") + ", l AS (SELECT user_id, generate_subscripts(vector, 1) - 1 AS pos, unnest(vector) AS x FROM clicks JOIN vec USING (article) WHERE user_id < 200) SELECT user_id, pos::INTEGER AS pos, round(avg(x), 6) AS x FROM l GROUP BY ALL")
+@q("e01_mean_user_embedding", ctes("clicks", "vec") + ", l AS (SELECT user_id, generate_subscripts(vector, 1) - 1 AS pos, unnest(vector) AS x FROM clicks JOIN vec USING (article) WHERE user_id < 200) SELECT user_id, pos::INTEGER AS pos, round(avg(x), 6) + 0.0 AS x FROM l GROUP BY ALL")
 def e01(spark, d):
     seen = clicks(spark, d).where("user_id < 200").join(vectors(spark, d), "article")
     return E.mean_vector(seen, "user_id", "vector").select("user_id", F.posexplode("vector").alias("pos", "x")).withColumn("x", R6("x"))
@@ -64,7 +64,7 @@ def e03(spark, d):
 
 
 def _weighted(name, weight, sql):
-    @q(name, ctes("clicks", "vec") + f", c AS (SELECT *, max(ts) OVER (PARTITION BY user_id) AS last_ts, max(quantity) OVER (PARTITION BY user_id) AS top FROM clicks JOIN vec USING (article) WHERE user_id < 100), w AS (SELECT *, {sql} AS w0 FROM c), n AS (SELECT *, w0 / nullif(sum(w0) OVER (PARTITION BY user_id), 0) AS w FROM w), l AS (SELECT user_id, w, generate_subscripts(vector, 1) - 1 AS pos, unnest(vector) AS x FROM n WHERE w IS NOT NULL) SELECT user_id, pos::INTEGER AS pos, round(avg(x * w), 6) AS x FROM l GROUP BY ALL")
+    @q(name, ctes("clicks", "vec") + f", c AS (SELECT *, max(ts) OVER (PARTITION BY user_id) AS last_ts, max(quantity) OVER (PARTITION BY user_id) AS top FROM clicks JOIN vec USING (article) WHERE user_id < 100), w AS (SELECT *, {sql} AS w0 FROM c), n AS (SELECT *, w0 / nullif(sum(w0) OVER (PARTITION BY user_id), 0) AS w FROM w), l AS (SELECT user_id, w, generate_subscripts(vector, 1) - 1 AS pos, unnest(vector) AS x FROM n WHERE w IS NOT NULL) SELECT user_id, pos::INTEGER AS pos, round(avg(x * w), 6) + 0.0 AS x FROM l GROUP BY ALL")
     def run(spark, d):
         u = W.partitionBy("user_id")
         c = clicks(spark, d).where("user_id < 100").join(vectors(spark, d), "article").withColumns({"last_ts": F.max("ts").over(u), "top": F.max("quantity").over(u)})
@@ -77,7 +77,7 @@ _weighted("e05_scroll_weighted_embedding", lambda: F.sqrt("quantity"), "sqrt(qua
 _weighted("e06_read_time_weighted_embedding", lambda: F.sqrt(F.col("top") - F.col("quantity")), "sqrt(top - quantity)")
 
 
-@q("e07_unit_rows", "SELECT vec_id AS article, pos - 1 AS pos, round(x / (n + 1e-6), 6) AS x FROM (SELECT vec_id, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda v: v * v))) AS n, generate_subscripts(embedding, 1)::INTEGER AS pos, unnest(embedding::DOUBLE[]) AS x FROM embeddings)")
+@q("e07_unit_rows", "SELECT vec_id AS article, pos - 1 AS pos, round(x / (n + 1e-6), 6) + 0.0 AS x FROM (SELECT vec_id, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda v: v * v))) AS n, generate_subscripts(embedding, 1)::INTEGER AS pos, unnest(embedding::DOUBLE[]) AS x FROM embeddings)")
 def e07(spark, d):
     return vectors(spark, d).select("article", F.posexplode(V.unit("vector")).alias("pos", "x")).withColumn("x", R6("x"))
 
@@ -135,7 +135,7 @@ def r04(spark, d):
     return s.crossJoin(u).select(R6(1 - F.col("n") / (F.col("r") * F.col("c"))).alias("sparsity"), "longest", R6("mean").alias("mean"))
 
 
-@q("r05_icm_from_embedding", "SELECT vec_id AS row, (generate_subscripts(embedding, 1) - 1)::INTEGER AS col, round(unnest(embedding)::DOUBLE, 6) AS value FROM embeddings")
+@q("r05_icm_from_embedding", "SELECT vec_id AS row, (generate_subscripts(embedding, 1) - 1)::INTEGER AS col, round(unnest(embedding)::DOUBLE, 6) + 0.0 AS value FROM embeddings")
 def r05(spark, d):
     return vectors(spark, d).select(F.col("article").alias("row"), F.posexplode("vector").alias("col", "value")).withColumn("value", R6("value"))
 

@@ -313,7 +313,7 @@ def o09(spark, d):
     return S.negative_samples(impressions(spark, d), 2, seed=7)
 
 
-@q("o10_subsample_by_key", ctes("cand") + " SELECT impression_id, article, seller, target FROM cand WHERE article % 5 = 0 OR target = 1")
+@q("o10_subsample_by_key", ctes("cand") + " SELECT impression_id, article, seller, target FROM cand WHERE (impression_id, article, seller) IN (SELECT (impression_id, article, seller) FROM cand WHERE article % 5 = 0 OR target = 1)")
 def o10(spark, d):
     c = candidates(spark, d)
     keys = c.where("article % 5 = 0 or target = 1").select(*CAND).distinct()
