@@ -9,7 +9,6 @@ from ..functions import vectors as V
 from ..operators import embeddings as E
 from ..operators import recommenders as R
 from ..operators.sampling import dense_index, hash_split
-from ..operators.sparse import multiply
 from ..sources.tables import candidates, clicks, ctes, table, vectors
 from .base import register as q
 

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from ..functions import lists as L
 from ..functions import times as T
 from ..operators import windows as N
-from ..sources.tables import candidates, clicks, ctes, impressions, items, table
+from ..sources.tables import candidates, clicks, ctes, table
 from .base import register as q
 
 R6 = lambda c: F.round(c, 6)
