@@ -8,7 +8,7 @@ import numpy as np
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD1342543DE82EF95
-_PIECE = 1 << 21
+_PIECE = 1 << 18
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
