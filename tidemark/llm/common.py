@@ -64,7 +64,17 @@ def materialize(df: DataFrame, name: str = "cut", compression: str = "zstd") ->
             spark.conf.unset(_CLEANUP)
         else:
             spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._tidemark_path = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes cuts that nothing reads any more: what came from them has itself been written."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._tidemark_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bounded_batches(spark: SparkSession, mb: int = 8) -> None:
