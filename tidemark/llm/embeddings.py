@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize
+from .common import bounded_batches, discard, materialize
 from .graph import components
 
 #: Tables, hashes joined in a table's key, and vectors that one task multiplies with one another.
@@ -193,6 +193,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, tables: int = TABLE
     dealt = dealt.select(*place, "vec", "home", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     dealt = dealt.join(heads.select("vec", "vector", "copies"), "vec").repartition(*place, "low", "high").sortWithinPartitions(*place, "low", "high")
     found = materialize(dealt.mapInArrow(partial(_products, least=least, tables=tables, hashes=hashes), "vec long, top long, links long"), "links")
+    discard(rows)
     links = found.groupBy("vec").agg(F.sum("links").alias("links"))
     part = components(found.select(F.col("vec").alias("u"), F.col("top").alias("v")))
     heads = heads.select(F.col("vec").alias("head"), "copies").join(links.withColumnRenamed("vec", "head"), "head", "left").join(part.withColumnRenamed("node", "head"), "head", "left")

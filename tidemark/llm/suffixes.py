@@ -17,15 +17,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, slices, texts
+from .common import bounded_batches, discard, materialize, slices, texts
 from .shingles import _BASE, _BYTE, mix
 
 #: Bytes of a repeated string, and of the anchor within it.
 LENGTH, ANCHOR = 100, 32
 #: Bytes of contexts in one suffix array; contexts of one anchor from which its windows are dealt out one by one.
-BLOCK, HOT = 1 << 21, 20_000
+BLOCK, HOT = 1 << 18, 20_000
 _LOW = (1 << 24) - 1
-_PIECE = 1 << 22
+_PIECE = 1 << 17
 
 
 def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -74,8 +74,8 @@ def _joined(held):
     return data, np.array([(i, at) for i, at, _ in held], np.int64).T, ends
 
 
-def _runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """A row for each run of windows with one anchor: the anchor's hash, that of the run's bytes, document, first window, windows."""
+def _runs(batches: Iterator[pa.RecordBatch], length: int, whole: bool = True) -> Iterator[pa.RecordBatch]:
+    """A row for each run of windows with one anchor: the anchor's hash, and as a whole that of the run's bytes, document, first window, windows."""
     for batch in slices(batches, "text", _PIECE):
         ids = batch.column("doc").to_numpy()
         for data, (number, origin), ends in _pieces(texts(batch, "text"), length):
@@ -88,6 +88,9 @@ def _runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
             new = valid[:-1].copy()
             new[1:] &= (place[1:] != place[:-1]) | ~valid[:-2]
             low = np.flatnonzero(new)
+            if not whole:
+                yield pa.RecordBatch.from_arrays([pa.array(found[low].view(np.int64))], names=["anchor"])
+                continue
             stops = np.flatnonzero(valid[:-1] & (~valid[1:] | np.concatenate((new[1:], [True]))))
             n = stops - low + 1
             raw = data.tobytes()
@@ -272,7 +275,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     known = base.where("doc is not null")
     runs = known.mapInArrow(partial(_runs, length=length), "anchor long, content long, doc long, start int, n int")
-    often = runs.groupBy("anchor").count().where("count > 1").select("anchor")
+    often = known.mapInArrow(partial(_runs, length=length, whole=False), "anchor long").groupBy("anchor").count().where("count > 1").select("anchor")
     runs = materialize(runs.join(often, "anchor", "left_semi"), "runs")
     key = ["anchor", "content"]
     first = runs.groupBy(*key).agg(F.min(F.struct("doc", "start", "n")).alias("first"))
@@ -284,10 +287,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     contexts = materialize(contexts.mapInArrow(partial(_contexts, length=length), "anchor long, hot boolean, doc long, start int, context binary"), "contexts")
     cold = contexts.where("not hot").drop("hot").repartition("anchor").sortWithinPartitions("anchor")
     marks = later.unionByName(cold.mapInArrow(partial(_sorted_blocks, length=length, block=BLOCK), "doc long, start int, n int"))
-    hot = contexts.where("hot")
+    hot, spent = contexts.where("hot"), [runs, first, contexts]
     if not hot.isEmpty():
         windows = materialize(hot.select("doc", "start", "context").mapInArrow(partial(_windows, length=length), "window binary, doc long, start int"), "windows")
+        spent.append(windows)
         heads = windows.groupBy("window").agg(F.min(F.struct("doc", "start")).alias("first"))
         marks = marks.unionByName(windows.join(heads, "window").where("doc <> first.doc or start <> first.start").select("doc", "start", F.lit(1).alias("n")))
     marks = materialize(marks.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("marks")), "marks")
+    discard(*spent)
     return base.join(marks, "doc", "left").mapInArrow(partial(_digests, length=length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
