@@ -77,7 +77,7 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def bounded_batches(spark: SparkSession, mb: int = 8) -> None:
+def bounded_batches(spark: SparkSession, mb: int = 4) -> None:
     """Limits an Arrow batch by bytes, so long texts do not add up to one huge batch; and sends the package along."""
     ship(spark)
     spark.conf.set(_BATCH, str(mb << 20))
@@ -98,6 +98,11 @@ def worker_cache(key, build):
     return _slot[1]
 
 
+def no_cache() -> None:
+    """For operators that keep nothing: what another one left in this worker goes."""
+    worker_cache("none", lambda: None)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Cuts batches where the given string or binary column passes `limit` bytes; a row is never split."""
     for batch in batches:

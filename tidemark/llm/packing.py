@@ -6,6 +6,7 @@ import json
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +32,7 @@ class Words:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.memo: dict[str, bytes] = {}
+        self.path, self.memo = path, {}
         with open(path, encoding="utf-8") as f:
             self.fast = self.ranked(json.load(f))
 
@@ -64,6 +61,15 @@ class Words:
         self.bpe = tiktoken.Encoding("words", pat_str="[^\\x00]*\\x00", mergeable_ranks=ranks, special_tokens={})
         return True
 
+    @cached_property
+    def tokenizer(self):
+        """The library's own, loaded only where a text needs it."""
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        found.encode_special_tokens = True  # their strings in a text are ordinary text
+        return found
+
     def learn(self, words: set[str]) -> None:
         """Puts what the words lack into the memo, which is emptied first where it would grow past MEMORY."""
         new = [w for w in words if w not in self.memo]
@@ -119,7 +125,7 @@ def pieces(docs: DataFrame, path: str, with_ids: bool = True, id_col: str = "doc
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 22):
+        for batch in slices(batches, "text", 1 << 20):
             keys, starts, lengths, sums, totals, ids = [], [], [], [], [], []
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for key, found in zip(batch.column("doc_id").to_pylist(), encode(texts, path), strict=True):

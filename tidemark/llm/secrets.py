@@ -14,7 +14,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bounded_batches, map_rows, slices
+from .common import bounded_batches, map_rows, no_cache, slices
 
 #: The base patterns and the least length of what counts.
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -143,6 +143,7 @@ def mask_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]"
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no_cache()
         for batch in batches:
             new = pa.array([None if x is None else masked(x, mask) for x in batch.column(place).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([new if i == place else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
