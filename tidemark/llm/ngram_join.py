@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import bounded_batches, discard, materialize, slices, texts
+from .common import bounded_batches, discard, materialize, no_cache, slices, texts
 from .graph import components
 from .shingles import shingle_sets
 
@@ -44,6 +44,7 @@ def spare_length(prefix: int, size: int) -> int:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
+    no_cache()
     order = np.argsort(frequent)
     ranked = frequent[order]
     for batch in slices(batches, "text"):
@@ -66,11 +67,13 @@ def _signatures(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, f
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    no_cache()
     for batch in slices(batches, "text"):
         yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array([s.tobytes() for s in shingle_sets(texts(batch, "text"), n)], pa.binary())], names=["doc", "hashes"])
 
 
 def _shingles(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    no_cache()
     for batch in slices(batches, "text"):
         found = np.concatenate([np.zeros(0, np.uint64), *shingle_sets(texts(batch, "text"), n)])
         yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["shingle"])
@@ -230,11 +233,15 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_
     split = column.join(part, column.doc == part.node, "left").select("shingle", "doc", "size", F.coalesce("component", "doc").alias("part"))
     mixed = split.groupBy("shingle").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.count("*").alias("rows"), F.min("doc").alias("head")).where("a <> b")
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
-    split = split.join(mixed.select("shingle", "head", blocks.alias("blocks")), "shingle").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")))
+    # The columns of a first document go to as many tasks as their rows fill.
+    mixed = mixed.select("shingle", "head", "rows", blocks.alias("blocks"))
+    tasks = mixed.groupBy("head").agg(F.ceil(F.sum(F.col("rows") * F.col("blocks")) / (2 * BLOCK)).alias("tasks"))
+    mixed = mixed.join(tasks, "head").withColumn("task", F.pmod(F.xxhash64("shingle"), F.col("tasks")))
+    split = split.join(mixed.select("shingle", "head", "blocks", "task"), "shingle").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")))
     split = split.withColumn("other", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x.cast("long"))))
-    dealt = split.select("head", "shingle", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc", "size", "part").join(counts, "doc")
+    dealt = split.select("head", "task", "shingle", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc", "size", "part").join(counts, "doc")
     # A pair's columns mostly begin with the same document: dealt by that, most of its overlap is added up in one task.
-    dealt = dealt.repartition("head", "low", "high").sortWithinPartitions("head", "low", "high", "shingle")
+    dealt = dealt.repartition("head", "task", "low", "high").sortWithinPartitions("head", "low", "high", "shingle")
     pairs = dealt.mapInArrow(partial(_block_pairs, num=num, den=den), "u long, v long, su long, sv long, shared long")
     pairs = pairs.groupBy("u", "v", "su", "sv").agg(F.sum("shared").alias("shared")).where(_bound(F.col("shared"), F.col("su"), F.col("sv"), num, den))
     pairs = materialize(pairs.select("u", "v"), "pairs")
