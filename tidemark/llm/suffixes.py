@@ -276,7 +276,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     known = base.where("doc is not null")
     runs = known.mapInArrow(partial(_runs, length=length), "anchor long, content long, doc long, start int, n int")
     often = known.mapInArrow(partial(_runs, length=length, whole=False), "anchor long").groupBy("anchor").count().where("count > 1").select("anchor")
+    # Written first: a join of two plain exchanges is one that Spark can split where an anchor is frequent.
+    often = materialize(often, "anchors")
     runs = materialize(runs.join(often, "anchor", "left_semi"), "runs")
+    discard(often)
     key = ["anchor", "content"]
     first = runs.groupBy(*key).agg(F.min(F.struct("doc", "start", "n")).alias("first"))
     variants = first.groupBy("anchor").agg(F.count("*").alias("variants"))
