@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .sampling import dense_index
 from .sparse import multiply, normalise, top_per, transpose
 
 #: The largest item catalogue whose dense Gram matrix may go to the driver (8 bytes a cell: 200 MB).
@@ -57,10 +58,19 @@ def similarity(x: DataFrame, kind: str = "cosine", shrink: float = 0.0, k: int =
 
 
 def euclidean(x: DataFrame, k: int, mode: str = "lin", shrink: float = 0.0) -> DataFrame:
-    """1 / (distance + shrink + 1e-9) (or of its logarithm or exponential) between columns that share a row. Columns that share none
-    have no cell: their distance depends on norms alone and would make the matrix dense."""
+    """1 / (distance + shrink + 1e-9) (or of its logarithm or exponential) between all columns, top k per column.
+
+    Columns without a shared row are sqrt(qi + qj) apart, so of those only the k of smallest norm can be among the nearest. They are among the
+    first n + k + 1 columns by norm, n being the number of columns that share a row: about as many rows more as the Gram matrix has cells.
+    """
     squares = x.groupBy("col").agg(F.sum(F.col("value") * F.col("value")).alias("q"))
-    g = gram(x).join(squares.select(F.col("col").alias("i"), F.col("q").alias("qi")), "i").join(squares.select(F.col("col").alias("j"), F.col("q").alias("qj")), "j")
+    g = gram(x).select("i", "j", "dot")
+    by_norm = dense_index(squares, ["q", "col"], "at").select("at", F.col("col").alias("i"))
+    reach = squares.select(F.col("col").alias("j")).join(g.groupBy("j").agg(F.count("*").alias("n")), "j", "left").crossJoin(F.broadcast(squares.agg(F.count("*").alias("all"))))
+    last = F.least(F.coalesce("n", F.lit(0)) + k, F.col("all") - 1)
+    apart = reach.select("j", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("at")).join(by_norm, "at").where("i <> j").join(g, ["i", "j"], "left_anti")
+    apart = top_per(apart.withColumn("near", -F.col("at")), "j", "near", ["i"], k).select("i", "j", F.lit(0.0).alias("dot"))
+    g = g.unionByName(apart).join(squares.select(F.col("col").alias("i"), F.col("q").alias("qi")), "i").join(squares.select(F.col("col").alias("j"), F.col("q").alias("qj")), "j")
     distance = F.sqrt(F.greatest(F.col("qi") + F.col("qj") - 2 * F.col("dot"), F.lit(0.0)))
     below = {"lin": distance, "log": F.log1p(distance), "exp": F.exp(distance)}[mode] + shrink + 1e-9
     return top_per(g.select("i", "j", (1 / below).alias("value")), "j", "value", ["i"], k)
