@@ -29,3 +29,37 @@ def test_euclidean_equals_all_pairs(spark, k):
         near = sorted((float(((m[:, i] - m[:, j]) ** 2).sum()), i) for i in range(25) if i != j)
         want |= {(i, j, round(1 / (d**0.5 + 1e-9), 6)) for d, i in near[:k]}
     assert {(r["i"], r["j"], round(r["value"], 6)) for r in R.euclidean(matrix(spark, cells), k).collect()} == want
+
+
+def weights(g, l1, l2, j):
+    """Projected gradient over all other items, to the end."""
+    others = [i for i in range(len(g)) if i != j]
+    m, y = g[np.ix_(others, others)], g[others, j]
+    w, step = np.zeros(len(y)), 1 / (np.linalg.eigvalsh(m)[-1] + l2)
+    for _ in range(20_000):
+        w = np.maximum(0, w + step * (y - m @ w - l2 * w - l1))
+    return dict(zip(others, w, strict=True))
+
+
+@pytest.mark.parametrize("signed", [False, True])
+def test_slim_sees_every_item(spark, signed):
+    # More co-occurring items than the twenty that a regression once saw.
+    rnd = random.Random(4)
+    cells = {(u, c): 1 for u in range(60) for c in range(30) if rnd.random() < 0.9 / (1 + c / 12)}
+    cells |= {(u, 29): 1 for u in range(60) if (u, 28) in cells}
+    if signed:
+        cells = {at: -1 if sum(at) % 5 == 0 else 1 for at in cells}
+    m = dense(cells)
+    for k in (30, 3):
+        got = {(r["i"], r["j"]): r["value"] for r in R.slim(matrix(spark, cells), 0.5, 1.0, k).collect()}
+        for j in range(30):
+            w = weights(m.T @ m, 0.5, 1.0, j)
+            top = sorted((i for i in w if w[i] > 1e-7), key=lambda i: -w[i])[:k]
+            mine = {i: v for (i, t), v in got.items() if t == j and v > 1e-7}
+            assert mine == pytest.approx({i: w[i] for i in top}, abs=1e-6)
+
+
+def test_slim_refuses_dense(spark, monkeypatch):
+    monkeypatch.setattr(R, "DENSE_LIMIT", 1)
+    with pytest.raises(ValueError):
+        R.slim(matrix(spark, {(0, 0): 1, (0, 1): 1}), 0.5, 1.0, 5)

@@ -114,14 +114,11 @@ def score(profile: DataFrame, w: DataFrame, candidates: DataFrame | None = None)
     return candidates.join(s, ["row", "col"], "left").select(*candidates.columns, F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
-def easer(spark: SparkSession, x: DataFrame, penalty: float, k: int) -> DataFrame:
-    """B = P / -diag(P), P the inverse of the Gram matrix plus penalty; top k by size per column.
-
-    The inverse is dense; catalogues over DENSE_LIMIT items are refused rather than truncated.
-    """
+def dense_gram(x: DataFrame) -> tuple[list, np.ndarray]:
+    """The columns in order and their Gram matrix, on the driver. Catalogues over DENSE_LIMIT items are refused rather than truncated."""
     n = x.select("col").distinct().count()
     if n > DENSE_LIMIT:
-        raise ValueError(f"{n} items: the dense inverse is bounded at {DENSE_LIMIT}")
+        raise ValueError(f"{n} items: the dense Gram matrix is bounded at {DENSE_LIMIT}")
     squares = x.groupBy("col").agg(F.sum(F.col("value") * F.col("value")).alias("q")).collect()
     ids = sorted(r["col"] for r in squares)
     at = {c: i for i, c in enumerate(ids)}
@@ -129,8 +126,18 @@ def easer(spark: SparkSession, x: DataFrame, penalty: float, k: int) -> DataFram
     for r in gram(x).where("i < j").select("i", "j", "dot").toLocalIterator():
         g[at[r["i"]], at[r["j"]]] = g[at[r["j"]], at[r["i"]]] = r["dot"]
     for r in squares:
-        g[at[r["col"]], at[r["col"]]] = r["q"] + penalty
-    p = np.linalg.inv(g)
+        g[at[r["col"]], at[r["col"]]] = r["q"]
+    return ids, g
+
+
+def easer(spark: SparkSession, x: DataFrame, penalty: float, k: int) -> DataFrame:
+    """B = P / -diag(P), P the inverse of the Gram matrix plus penalty; top k by size per column.
+
+    The inverse is dense; catalogues over DENSE_LIMIT items are refused rather than truncated.
+    """
+    ids, g = dense_gram(x)
+    n = len(ids)
+    p = np.linalg.inv(g + penalty * np.eye(n))
     b = p / -np.diag(p)
     np.fill_diagonal(b, 0.0)
     rows = []
@@ -172,27 +179,39 @@ def factor_scores(pairs: DataFrame, users: DataFrame, items: DataFrame) -> DataF
     return both.select("row", "col", dot("u", "v").alias("value"))
 
 
-def slim(x: DataFrame, l1: float, l2: float, k: int, neighbours: int, sweeps: int = 30) -> DataFrame:
-    """For each item an elastic-net regression (non-negative) on its most co-occurring neighbours, by coordinate descent over
-    their Gram matrix. A task holds one item's block of at most neighbours^2 cells, so memory is bounded."""
+def slim(x: DataFrame, l1: float, l2: float, k: int, sweeps: int = 10_000) -> DataFrame:
+    """For each item an elastic-net regression (non-negative) on all other items, by coordinate descent over the Gram matrix until no
+    weight moves; the k largest weights stay. Every task holds the Gram matrix, so catalogues over DENSE_LIMIT items are refused rather than
+    truncated. Where no product is negative, items whose product with the target is l1 or less have weight 0 and are left out; that is exact.
+    """
     import pandas as pd
 
-    cells = gram(x)
-    squares = x.groupBy("col").agg(F.sum(F.col("value") * F.col("value")).alias("dot"))
-    near = top_per(cells, "j", "dot", ["i"], neighbours).select("i", "j", F.col("dot").alias("y"))
-    full = cells.select("i", "j", "dot").unionByName(squares.select(F.col("col").alias("i"), F.col("col").alias("j"), "dot"))
-    a = near.select("j", F.col("i").alias("a"), "y")
-    b = near.select("j", F.col("i").alias("b"))
-    block = a.join(b, "j").join(full.select(F.col("i").alias("a"), F.col("j").alias("b"), F.col("dot").alias("g")), ["a", "b"], "left")
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = pdf.pivot(index="a", columns="b", values="g").fillna(0.0)
-        y = pdf.groupby("a")["y"].first().reindex(g.index).to_numpy()
-        m, w = g.to_numpy(), np.zeros(len(y))
-        for _ in range(sweeps):
-            for i in range(len(y)):
-                w[i] = max(0.0, y[i] - m[i] @ w + m[i, i] * w[i] - l1) / (m[i, i] + l2)
-        return pd.DataFrame({"i": g.index, "j": pdf["j"].iloc[0], "value": w})
-
-    w = block.groupBy("j").applyInPandas(solve, "i long, j long, value double").where("value > 0")
-    return top_per(w, "j", "value", ["i"], k)
+    spark = x.sparkSession
+    ids, g = dense_gram(x)
+    held, exact = spark.sparkContext.broadcast((np.array(ids), g)), not (g < 0).any()
+
+    def solve(batches):
+        ids, g = held.value
+        for pdf in batches:
+            out = []
+            for t in pdf["at"]:
+                near = np.flatnonzero((g[:, t] > l1) | (not exact))
+                near = near[near != t]
+                m, y, w = np.ascontiguousarray(g[np.ix_(near, near)]), g[near, t], np.zeros(len(near))
+                fit = np.zeros(len(near))
+                for _ in range(sweeps):
+                    moved = 0.0
+                    for i in range(len(near)):
+                        new = max(0.0, y[i] - fit[i] + m[i, i] * w[i] - l1) / (m[i, i] + l2)
+                        if new != w[i]:
+                            fit += m[i] * (new - w[i])
+                            moved, w[i] = max(moved, abs(new - w[i])), new
+                    if moved <= 1e-10:
+                        break
+                else:
+                    raise ValueError(f"item {ids[t]}: weights still move after {sweeps} sweeps")
+                out += [(int(ids[i]), int(ids[t]), float(v)) for i, v in zip(near, w, strict=True) if v > 0]
+            yield pd.DataFrame(out, columns=["i", "j", "value"])
+
+    targets = spark.range(len(ids)).select(F.col("id").alias("at"))
+    return top_per(targets.mapInPandas(solve, "i long, j long, value double"), "j", "value", ["i"], k)

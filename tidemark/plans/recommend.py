@@ -277,7 +277,7 @@ def r20(spark, d):
 
 @q("r21_slim")
 def r21(spark, d):
-    return R.slim(_small(spark, d).where("value > 120").withColumn("value", F.lit(1.0)), l1=0.5, l2=1.0, k=10, neighbours=20)
+    return R.slim(_small(spark, d).where("value > 120").withColumn("value", F.lit(1.0)), l1=0.5, l2=1.0, k=10)
 
 
 @q("r22_top_pop", _URM + " SELECT col AS article, count(*) AS n, rank() OVER (ORDER BY count(*) DESC)::INTEGER AS rank FROM x GROUP BY 1")
