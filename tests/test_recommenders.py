@@ -2,9 +2,11 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
+from tidemark import plans
 from tidemark.operators import recommenders as R
 
 
@@ -63,3 +65,30 @@ def test_slim_refuses_dense(spark, monkeypatch):
     monkeypatch.setattr(R, "DENSE_LIMIT", 1)
     with pytest.raises(ValueError):
         R.slim(matrix(spark, {(0, 0): 1, (0, 1): 1}), 0.5, 1.0, 5)
+
+
+def test_models_read_whole_tables(spark):
+    d = "/root/testdata/sf0.001"
+    rows = duckdb.sql(f"SELECT l_suppkey, p_size, sum(l_quantity)::DOUBLE FROM '{d}/lineitem.parquet' JOIN '{d}/part.parquet' ON l_partkey = p_partkey GROUP BY ALL").fetchall()
+    cells = {(r, c): v for r, c, v in rows}
+    run = lambda name: plans.QUERIES[name](spark, d).collect()
+    m = dense(cells)
+    ids = sorted({c for _, c in cells})
+    m = m[sorted({r for r, _ in cells})][:, ids]
+    assert {(r["row"], r["col"]) for r in run("r19_nonnegative_factors")} == set(cells)
+    p = np.linalg.inv(m.T @ m + 100 * np.eye(len(ids)))
+    b = p / -np.diag(p)
+    got = run("r16_ease_r")
+    assert len(got) == 10 * len(ids)
+    assert [r["value"] for r in got] == pytest.approx([b[ids.index(r["i"]), ids.index(r["j"])] for r in got])
+    factors = {r["col"]: r["vector"] for r in run("r17_pure_svd")}
+    f = np.array([factors[c] for c in ids])
+    v = np.linalg.svd(m - m.mean(0))[2][:8].T
+    assert f @ f.T == pytest.approx(v @ v.T, abs=1e-6)
+    ones = (m > 120).astype(float)
+    used = [i for i in range(len(ids)) if ones[:, i].any()]
+    g = ones[:, used].T @ ones[:, used]
+    got = {(r["i"], r["j"]): r["value"] for r in run("r21_slim")}
+    for j in range(len(used)):
+        w = sorted(weights(g, 0.5, 1.0, j).values(), reverse=True)[:10]
+        assert sorted((v for (_, t), v in got.items() if t == ids[used[j]] and v > 1e-7), reverse=True) == pytest.approx([v for v in w if v > 1e-7], abs=1e-5)

@@ -23,10 +23,15 @@ def _urm(spark, d):
 _URM = ctes("clicks") + ", x AS (SELECT DISTINCT user_id AS row, article AS col, 1.0::DOUBLE AS value FROM clicks)"
 
 
-def _small(spark, d):
-    """Brand by seller quantities: a dense-ish matrix for similarities."""
+def _quantities(spark, d, only="true"):
+    """Seller by size quantities: a dense-ish matrix."""
     lines = table(spark, d, "lineitem", "l_partkey", "l_suppkey", "l_quantity").join(table(spark, d, "part", "p_partkey", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
-    return lines.where("l_partkey % 3 = 0").groupBy(F.col("l_suppkey").alias("row"), F.col("p_size").cast("long").alias("col")).agg(F.sum("l_quantity").alias("value"))
+    return lines.where(only).groupBy(F.col("l_suppkey").alias("row"), F.col("p_size").cast("long").alias("col")).agg(F.sum("l_quantity").alias("value"))
+
+
+def _small(spark, d):
+    """The third of it that the SQL beside the queries reads."""
+    return _quantities(spark, d, "l_partkey % 3 = 0")
 
 
 _SMALL = "x AS (SELECT l_suppkey AS row, p_size::BIGINT AS col, sum(l_quantity) AS value FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_partkey % 3 = 0 GROUP BY ALL)"
@@ -244,14 +249,14 @@ def r15(spark, d):
 
 @q("r16_ease_r")
 def r16(spark, d):
-    return R.easer(spark, _small(spark, d), penalty=100.0, k=10)
+    return R.easer(spark, _quantities(spark, d), penalty=100.0, k=10)
 
 
 @q("r17_pure_svd")
 def r17(spark, d):
     from ..operators.models import svd_item_factors
 
-    return svd_item_factors(_small(spark, d), 8)
+    return svd_item_factors(_quantities(spark, d), 8)
 
 
 @q("r18_implicit_als")
@@ -265,7 +270,7 @@ def r18(spark, d):
 def r19(spark, d):
     from ..operators.models import als_scores
 
-    return als_scores(_small(spark, d), rank=6, implicit=False)
+    return als_scores(_quantities(spark, d), rank=6, implicit=False)
 
 
 @q("r20_bpr_factors")
@@ -277,7 +282,7 @@ def r20(spark, d):
 
 @q("r21_slim")
 def r21(spark, d):
-    return R.slim(_small(spark, d).where("value > 120").withColumn("value", F.lit(1.0)), l1=0.5, l2=1.0, k=10)
+    return R.slim(_quantities(spark, d).where("value > 120").withColumn("value", F.lit(1.0)), l1=0.5, l2=1.0, k=10)
 
 
 @q("r22_top_pop", _URM + " SELECT col AS article, count(*) AS n, rank() OVER (ORDER BY count(*) DESC)::INTEGER AS rank FROM x GROUP BY 1")
