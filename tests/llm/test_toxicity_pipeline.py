@@ -70,6 +70,26 @@ def test_learn_is_stable(tables):
     assert a.dictionaries == b.dictionaries and (a.weights == b.weights).all()
 
 
+@pytest.mark.parametrize("mark", ["-", "_", "/", ",", ""])
+def test_text_without_spaces_is_read_to_its_end(tables, mark):
+    rows, _, _ = tables
+    model = toxicity.fit([t for _, t, y in rows if y], [t for _, t, y in rows if not y])
+    windows, rnd = toxicity.Windows(model), random.Random(6)
+    flagged = lambda t: model.score(__import__("numpy").array([windows.features(toxicity.tokens(t))]))[0] >= 0.5
+    for n in (100, 400):
+        plain = words(rnd, n)
+        toxic = plain[: n // 2] + [w for bad in BAD * 4 for w in (bad, *words(rnd, 3))] + plain[n // 2 :]
+        assert flagged(mark.join(toxic)) and not flagged(mark.join(plain))
+
+
+def test_pieces_cover_the_word():
+    for n in (1, 31, 32, 33, 36, 37, 100, 101):
+        word = "".join(chr(0x4E00 + i) for i in range(n))
+        got = list(toxicity.pieces(word))
+        assert {c for p in got for c in p} == set(word) and got[-1][-1] == word[-1] and max(map(len, got)) <= 32
+        assert len(got) == len(set(got)) == 1 + max(0, -(-(n - 32) // toxicity.STRIDE))
+
+
 @pytest.fixture(scope="module")
 def corpus(spark, tmp_path_factory):
     """Documents of every kind a stage decides on, and their labels."""

@@ -19,8 +19,9 @@ from .common import map_rows, worker_cache
 
 #: The classifier is fitted on at most so many labelled rows of a class (in the order of their ids' hash), each of at most so many characters.
 FIT_TOXIC, FIT_ORDINARY, FIT_CHARS = 1500, 3000, 32_000
-#: A window is a word three times over; views: whole words (0), or their first letters.
-VIEWS, LONGEST, REPEAT = (0, 4, 5, 6), 32, 3
+#: A window is a word three times over; views: whole words (0), or their first letters. A word of more than LONGEST characters is read in
+#: pieces of that many to its end, each STRIDE after the one before, so that the shortest view too reads every letter.
+VIEWS, LONGEST, STRIDE, REPEAT = (0, 4, 5, 6), 32, 4, 3
 #: Bytes of a dictionary, zstandard's level, and the bytes saved from which a window speaks for toxic text.
 DICTIONARY, LEVEL, SAVED = 32_768, 6, (3, 4, 5, 6)
 FOLDS = 5
@@ -29,11 +30,25 @@ MEMORY = 300_000
 
 
 def window(word: str) -> bytes:
-    return ((" " + word[:LONGEST]) * REPEAT + " ").encode()
+    return ((" " + word) * REPEAT + " ").encode()
 
 
 def tokens(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+    """What stands between white space and punctuation, in lower case."""
+    text = (text or "").lower()
+    for mark in PUNCTUATION:
+        text = text.replace(mark, " ")
+    return text.split()
+
+
+def pieces(word: str) -> Iterator[str]:
+    """The word, or overlapping pieces of it that reach its end."""
+    last = len(word) - LONGEST
+    if last <= 0:
+        yield word
+    else:
+        yield from (word[i : i + LONGEST] for i in range(0, last, STRIDE))
+        yield word[last:]
 
 
 def dictionary(own: list[list[str]], other: list[list[str]], view: int) -> bytes:
@@ -82,41 +97,43 @@ class Windows(dict):
         return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=parameters)
 
     def __missing__(self, token: str) -> int:
-        word, bits = token.strip(PUNCTUATION), 0
-        if word:
-            for i, (toxic, ordinary, memo) in enumerate(self.views):
-                part = word[: VIEWS[i]] if VIEWS[i] else word[:LONGEST]
-                passed = memo.get(part)
-                if passed is None:
-                    x = window(part)
-                    saved = len(ordinary.compress(x)) - len(toxic.compress(x))
-                    passed = sum(1 << k for k, s in enumerate(SAVED) if saved >= s)
-                    if len(memo) >= MEMORY // 3:
-                        memo.clear()
-                    memo[part] = passed
-                bits |= passed << (len(SAVED) * i)
+        bits = 0
+        for i, (toxic, ordinary, memo) in enumerate(self.views):
+            part = token[: VIEWS[i]] if VIEWS[i] else token
+            passed = memo.get(part)
+            if passed is None:
+                x = window(part)
+                saved = len(ordinary.compress(x)) - len(toxic.compress(x))
+                passed = sum(1 << k for k, s in enumerate(SAVED) if saved >= s)
+                if len(memo) >= MEMORY // 3:
+                    memo.clear()
+                memo[part] = passed
+            bits |= passed << (len(SAVED) * i)
         if len(self) >= MEMORY:
             self.clear()
         self[token] = bits
         return bits
 
     def features(self, words: list[str]) -> list[float]:
-        """Per view and threshold: how many windows pass (log) and their share; and the length (log)."""
-        counts = [0] * (len(VIEWS) * len(SAVED))
-        for bits in [b for b in map(self.__getitem__, words) if b]:
+        """Per view and threshold: how many windows pass (log) and their share; and the number of windows (log)."""
+        counts, n = [0] * (len(VIEWS) * len(SAVED)), len(words)
+        if n and max(map(len, words)) > LONGEST:
+            n += sum(-(-(len(w) - LONGEST) // STRIDE) for w in words if len(w) > LONGEST)
+            words = (p for w in words for p in pieces(w))
+        for bits in filter(None, map(self.__getitem__, words)):
             for k in range(len(counts)):
                 counts[k] += bits >> k & 1
         out = []
         for c in counts:
-            out += [log(1 + c), 20 * c / (len(words) + 20)]
-        return [*out, log(1 + len(words)) / 5]
+            out += [log(1 + c), 20 * c / (n + 20)]
+        return [*out, log(1 + n) / 5]
 
 
 def fit(toxic: list[str], ordinary: list[str]) -> Model | None:
     """Dictionaries from every second text, thresholds and weights from the others. None without texts of both classes."""
     if len(toxic) < 2 or len(ordinary) < 2:
         return None
-    sides = [[[w.strip(PUNCTUATION) for w in tokens(t)] for t in side] for side in (toxic, ordinary)]
+    sides = [[[p for w in tokens(t) for p in pieces(w)] for t in side] for side in (toxic, ordinary)]
     model = Model([(dictionary(sides[0][::2], sides[1][::2], v), dictionary(sides[1][::2], sides[0][::2], v)) for v in VIEWS])
     windows = Windows(model)
     x = np.array([windows.features(tokens(t)) for t in (*toxic[1::2], *ordinary[1::2])])
@@ -170,7 +187,7 @@ def with_score(docs: DataFrame, model: Model | None, name: str, text_col: str =
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, score, predicted) a row; rows of equal id are scored each; a null id is not held out."""
+    """(doc_id, held_out, score, predicted) a row, scored on the whole text; rows of equal id are scored each; a null id is not held out."""
     model = learn(docs, labels, id_col, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = with_score(rows, model, "score")
