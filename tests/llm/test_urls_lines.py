@@ -37,6 +37,17 @@ def test_variable_segments(spark):
     assert found == {"u/*/p"}
 
 
+def test_wide_level_keeps_ruled_segments_apart(spark):
+    # Twenty first segments and more, two of them blocked by rules: no page of the others changes its verdict.
+    for n in (10, 30):
+        names = ["es", "fr", "en", *(f"dir{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(n))]
+        rows = [(k * 100 + i, f"http://a.net/{name}/{i}") for k, name in enumerate(names) for i in range(9 if k > 2 else 60)]
+        got = urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()
+        assert len(got) == len(rows)
+        assert all(r["verdict"] == ("block" if r["page_id"] < 200 else "allow") for r in got)
+        assert {r["template"].split("/")[0] for r in got} == ({"es", "fr", "en", "*"} if n == 30 else set(names))
+
+
 def test_repeated_and_empty(spark):
     df = spark.createDataFrame([(1, "http://a.com/"), (1, "http://a.com/"), (None, None)], "page_id long, url string")
     assert urls.judge(df).count() == 3

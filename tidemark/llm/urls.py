@@ -37,8 +37,8 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity for every url; repeated rows and null ids stay.
 
-    The tree: a path's first segments, with digit runs as '*', under its host. A segment that follows one of VARIABLE or
-    more distinct values under the same parent becomes '*' too. Urls that a rule decides are the labelled ones. Sibling
+    The tree: a path's first segments, with digit runs as '*', under its host. Where VARIABLE or more
+    distinct values follow the same parent, those without a labelled url and with at most 1 / VARIABLE of the parent's urls become '*' too. Urls that a rule decides are the labelled ones. Sibling
     templates with labels whose own smoothed purities fall in the same band merge, and a merged template is rejected if its smoothed
     share of blocked urls reaches REJECT. Templates without labels pass. Counts are
     combined before each shuffle and joined back on (host, template), never gathered per host.
@@ -50,12 +50,14 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     part = F.split(part, "/+")
     base = base.select("*", name.alias("rule"), verdict.alias("ruled"), F.coalesce(F.get(part, F.lit(0)), F.lit("")).alias("s1"), *(F.coalesce(F.get(part, F.lit(i - 1)), F.lit("")).alias(f"s{i}") for i in range(2, DEPTH + 1)))
     shapes = base.groupBy("host", *(f"s{i}" for i in range(1, DEPTH + 1))).agg(F.count("*").alias("n"), F.count_if(F.col("ruled") == "block").alias("bad"), F.count("ruled").alias("known"))
-    # Level by level: a level under one parent with many distinct values is a variable.
+    # Level by level: of many distinct values under one parent the rare, unlabelled ones are a variable.
     tree = shapes.select("*", *(F.col(f"s{i}").alias(f"t{i}") for i in range(1, DEPTH + 1)))
     for i in range(1, DEPTH + 1):
         parent = ["host", *(f"t{j}" for j in range(1, i))]
-        wide = tree.select(*parent, f"t{i}").distinct().groupBy(*parent).agg(F.count("*").alias("width")).where(F.col("width") >= VARIABLE).drop("width").withColumn("wide", F.lit(True))
-        tree = tree.join(wide, parent, "left").withColumn(f"t{i}", F.when(F.col("wide"), F.lit("*")).otherwise(F.col(f"t{i}"))).drop("wide")
+        each = tree.groupBy(*parent, f"t{i}").agg(F.sum("n").alias("pages"), F.sum("known").alias("labelled"))
+        wide = each.groupBy(*parent).agg(F.count("*").alias("width"), F.sum("pages").alias("all")).where(F.col("width") >= VARIABLE)
+        rare = each.join(wide, parent).where((F.col("labelled") == 0) & (F.col("pages") * VARIABLE <= F.col("all"))).select(*parent, f"t{i}", F.lit(True).alias("rare"))
+        tree = tree.join(rare, [*parent, f"t{i}"], "left").withColumn(f"t{i}", F.when(F.col("rare"), F.lit("*")).otherwise(F.col(f"t{i}"))).drop("rare")
     template = F.concat_ws("/", *(F.col(f"t{i}") for i in range(1, DEPTH + 1)))
     tree = tree.select(*shapes.columns, "t1", template.alias("template"))
     prior = shapes.agg((F.coalesce(F.try_divide(F.sum("bad"), F.sum("known")), F.lit(0.0))).alias("prior"))
@@ -74,7 +76,7 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
 
 
 def oracle() -> str:
-    """The same in DuckDB's SQL."""
+    """The same in DuckDB's SQL, for tables where no parent has VARIABLE distinct values: there it makes all of them '*'."""
     ordered = sorted(RULES, key=lambda r: -len(r[0] + r[1]))
     case = lambda k: "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{(h + p, v)[k]}'" for h, p, v in ordered) + " END"
     levels, last = [], "t0"
