@@ -58,10 +58,9 @@ def test_long_texts_go_in_runs():
 
 def test_word_ids_equal_library():
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
     rnd = random.Random(5)
     letters = "abcXYZ  \t\n'\",.!?0123456789éÉßΣσς İıàêçñ中文日本かなабв😀👍🏽̧́​\xa0 -_/\\|<>&%½²ǅﬁ"
-    cases = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 60))) for _ in range(3000)] + ["a\x1cb", "a\0b", "<|endoftext|>", "don't I'LL", "ΑΣ ΣΑ"]
+    cases = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 60))) for _ in range(3000)] + ["a\x1cb", "a\0b", "<|endoftext|>", "hello <|endoftext|> there", "in<|startoftext|>side", "<|endof text|>", "<|ENDOFTEXT|>", "<|endoftext|>\u0338", "a <| b", "don't I'LL", "ΑΣ ΣΑ"]
     words = packing.Words(WORDS)
     assert words.fast
     for text, got in zip(cases, words.encode(cases), strict=True):
@@ -71,6 +70,16 @@ def test_word_ids_equal_library():
         assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("around", ["A%sb", "e%s\u0301", "\u0327%s"])
+def test_every_character_equals_library(around):
+    tokenizer, words = Tokenizer.from_file(WORDS), packing.Words(WORDS)
+    cases = [around % chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(cases), 50_000):
+        want = tokenizer.encode_batch(cases[k : k + 50_000], add_special_tokens=False)
+        for text, mine, theirs in zip(cases[k:], words.encode(cases[k : k + 50_000]), want, strict=False):
+            assert np.frombuffer(mine, "<u4").tolist() == theirs.ids, text
+
+
 def test_small_memory(monkeypatch):
     monkeypatch.setattr(packing, "MEMORY", 2)
     words = packing.Words(WORDS)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -17,9 +18,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, slices, worker_cache
 
 LONGEST, END, MEMORY = 2048, 1, 300_000
-#: White space in Python that the tokenizer's pattern does not take for it, and what stands for a word's end below; texts with these go to
-#: the library as they are.
-ODD = frozenset("\x1c\x1d\x1e\x1f\0")
+#: White space in Python that the tokenizer's pattern does not take for it, and what stands for a word's end below.
+CONTROLS = "\0\x1c\x1d\x1e\x1f"
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("bucket", pa.int32()), ("ids", pa.binary())])
 
 
@@ -28,7 +28,8 @@ class Words:
 
     The tokenizer's pattern never crosses white space, so each run can be encoded apart. A run that is new is cut by the pattern, and all new ones of a
     batch are merged in one call: the vocabulary's merges as ranks of bytes, with a zero byte for a word's end. The vocabulary file gives
-    pattern, merges and ids; a file of another shape, or a text with odd characters, goes to the library as it is.
+    pattern, merges and ids. A text with an added token's string in it, or with characters on which Unicode versions differ, goes to the library
+    as it is, and so does every text if the file is of another shape.
     """
 
     def __init__(self, path: str):
@@ -58,6 +59,7 @@ class Words:
             ranks[token] = 512 + i
             self.ids[512 + i] = vocab[a + b]
         self.cut = regex.compile(cutter[0]["pattern"]["Regex"] + "| ")
+        self.controls, self.odd, self.added = re.compile(f"[{CONTROLS}]"), re.compile(odd_characters()), [t["content"] for t in file["added_tokens"]]
         self.bpe = tiktoken.Encoding("words", pat_str="[^\\x00]*\\x00", mergeable_ranks=ranks, special_tokens={})
         return True
 
@@ -66,9 +68,7 @@ class Words:
         """The library's own, loaded only where a text needs it."""
         from tokenizers import Tokenizer
 
-        found = Tokenizer.from_file(self.path)
-        found.encode_special_tokens = True  # their strings in a text are ordinary text
-        return found
+        return Tokenizer.from_file(self.path)
 
     def learn(self, words: set[str]) -> None:
         """Puts what the words lack into the memo, which is emptied first where it would grow past MEMORY."""
@@ -88,9 +88,12 @@ class Words:
                 self.memo[word] = bytes(ids[4 * start : 4 * end])
                 start = end + 1
 
+    def plain(self, text: str) -> bool:
+        return not (self.controls.search(text) or (not text.isascii() and self.odd.search(text)) or any(t in text for t in self.added))
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Each text's ids as little-endian 32-bit words."""
-        words = [t.split() if self.fast and ODD.isdisjoint(t) else None for t in texts]
+        words = [t.split() if self.fast and self.plain(t) else None for t in texts]
         self.learn(set().union(*(w for w in words if w)))
         for text, own in zip(texts, words, strict=True):
             if own is None:
@@ -106,6 +109,16 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def odd_characters() -> str:
+    """A pattern's class: CONTROLS, characters that Python's Unicode does not know yet, and marks that came after Unicode 3.2. The library's tables are
+    of other versions, so it may lower-case the first and reorder the second where Python does not; of all others case and order are settled.
+    """
+    kind, old = unicodedata.category, unicodedata.ucd_3_2_0.category
+    odd = np.array([kind(c) == "Cn" or kind(c)[0] == "M" and old(c) == "Cn" or c in CONTROLS for c in map(chr, range(0x110000))])
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], odd, [False])).view(np.int8))).tolist()
+    return "[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edge[::2], edge[1::2], strict=True)) + "]"
+
+
 def encode(texts: list[str], path: str) -> Iterator[bytes]:
     return worker_cache(("packing", path), lambda: Words(path)).encode(texts)
 
