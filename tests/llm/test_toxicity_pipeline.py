@@ -1,4 +1,6 @@
+import math
 import random
+import re
 import zlib
 
 import pytest
@@ -67,27 +69,84 @@ def test_odd_rows(spark, docs, odd_rows, tables):
 def test_learn_is_stable(tables):
     _, docs, labels = tables
     a, b = toxicity.learn(docs, labels), toxicity.learn(docs.repartition(7), labels.repartition(3))
-    assert a.dictionaries == b.dictionaries and (a.weights == b.weights).all()
+    assert a.key == b.key and (a.weights == b.weights).all()
 
 
-@pytest.mark.parametrize("mark", ["-", "_", "/", ",", ""])
-def test_text_without_spaces_is_read_to_its_end(tables, mark):
+@pytest.fixture(scope="module")
+def model(tables):
+    rows, _, _ = tables
+    return toxicity.fit([toxicity.plain(t) for _, t, y in rows if y], [toxicity.plain(t) for _, t, y in rows if not y])
+
+
+def plain_score(model, text):
+    """One window after the other, each compressed by itself."""
+    data = " " + " ".join(re.sub(r"[\W_]", " ", (text or "").lower()).split()) + " "
+    data = data.encode() if data.strip() else b""
+    starts, since = [], 0
+    for i, c in enumerate(data[:-1]):
+        since = 0 if c == 32 else since + 1
+        if since % toxicity.STRIDE == 0:
+            starts.append(i)
+    toxic, ordinary = toxicity.compressor(model.toxic), toxicity.compressor(model.ordinary)
+    saved = []
+    for i in starts:
+        w = data[i : i + toxicity.WINDOW]
+        saved.append(len(ordinary.compress(w)) - len(toxic.compress(w)))
+    if not saved:
+        return 0.0
+    n, x = len(saved), []
+    near = saved
+    if n >= 5:
+        near = [sum(saved[max(0, i - 2) : i + 3]) / 5 for i in range(n)]
+    for values, steps in ((saved, toxicity.SAVED), (near, toxicity.MEANS)):
+        for t in steps:
+            k = sum(v >= t - 1e-9 for v in values)
+            x += [math.log(1 + k), 20 * k / (n + 20)]
+    x += [math.log(1 + sum(v for v in saved if v > 0)), sum(min(9, max(-4, v)) for v in saved) / (n + 20), math.log(1 + n) / 5]
+    z = sum((a - m) / s * w for a, m, s, w in zip(x, model.mean, model.spread, model.weights, strict=False)) + model.weights[-1]
+    return 1 / (1 + math.exp(-z))
+
+
+def test_scores_equal_brute_force(spark, docs, odd_rows, tables, model, monkeypatch):
+    monkeypatch.setattr(toxicity, "_CHUNK", 4096)
     rows, _, _ = tables
-    model = toxicity.fit([t for _, t, y in rows if y], [t for _, t, y in rows if not y])
-    windows, rnd = toxicity.Windows(model), random.Random(6)
-    flagged = lambda t: model.score(__import__("numpy").array([windows.features(toxicity.tokens(t))]))[0] >= 0.5
+    cases = [t for _, t, _ in rows[:40]] + [None, "", " \n ", "...", "x", "vilefoe", "VILEFOE, grimscum!", "vile_foe", "ß" * 100, "a" * 15, "a" * 16, "a" * 17, "中文" * 300, "-".join(BAD * 50), "".join(BAD * 50)]
+    scorer = toxicity.Scorer(model)
+    for t in cases:
+        assert scorer.score(t) == pytest.approx(plain_score(model, t), abs=1e-9), t
+    got = {r["doc_id"]: r["s"] for r in toxicity.with_score(docs(list(enumerate(cases))), model, "s").collect()}
+    assert got == {i: scorer.score(t) for i, t in enumerate(cases)}
+    assert [got[i] for i in range(40, 44)] == [0.0] * 4
+
+
+@pytest.mark.parametrize("mark", ["-", "_", "/", ",", ""])
+def test_text_without_spaces_is_read_to_its_end(model, mark):
+    scorer, rnd = toxicity.Scorer(model), random.Random(6)
     for n in (100, 400):
         plain = words(rnd, n)
         toxic = plain[: n // 2] + [w for bad in BAD * 4 for w in (bad, *words(rnd, 3))] + plain[n // 2 :]
-        assert flagged(mark.join(toxic)) and not flagged(mark.join(plain))
+        assert scorer.score(mark.join(toxic)) >= 0.5 > scorer.score(mark.join(plain))
 
 
-def test_pieces_cover_the_word():
-    for n in (1, 31, 32, 33, 36, 37, 100, 101):
-        word = "".join(chr(0x4E00 + i) for i in range(n))
-        got = list(toxicity.pieces(word))
-        assert {c for p in got for c in p} == set(word) and got[-1][-1] == word[-1] and max(map(len, got)) <= 32
-        assert len(got) == len(set(got)) == 1 + max(0, -(-(n - 32) // toxicity.STRIDE))
+def test_windows_leave_no_byte_out():
+    rnd = random.Random(2)
+    for _ in range(50):
+        data = toxicity.plain(" ".join("x" * rnd.choice([1, 3, 15, 16, 17, 31, 32, 33, 100]) for _ in range(rnd.randint(1, 9))))
+        found = toxicity.windows(data).tolist()
+        assert {i for a, n in found for i in range(a, a + n)} == set(range(len(data)))
+
+
+def test_long_fitted_texts_are_read_from_end_to_end():
+    data = bytes(i % 251 for i in range(200_000))
+    got = toxicity.spread(data)
+    assert len(got) == toxicity.FIT_BYTES and got.startswith(data[:1024]) and got.endswith(data[-1024:]) and toxicity.spread(data[:100]) == data[:100]
+
+
+def test_odds_move_the_threshold(tables, model):
+    rows, _, _ = tables
+    rare = toxicity.fit([toxicity.plain(t) for _, t, y in rows if y], [toxicity.plain(t) for _, t, y in rows if not y], 0.01)
+    a, b = toxicity.Scorer(model), toxicity.Scorer(rare)
+    assert all(a.score(t) >= b.score(t) for _, t, _ in rows[:50])
 
 
 @pytest.fixture(scope="module")
@@ -115,8 +174,7 @@ def test_pipeline_stage_by_stage(spark, corpus):
     path, plain = corpus
     docs = spark.read.parquet(f"{path}/documents.parquet")
     model = toxicity.learn(docs, spark.read.parquet(f"{path}/labels.parquet"))
-    windows = toxicity.Windows(model)
-    score = lambda t: float(model.score(__import__("numpy").array([windows.features(toxicity.tokens(t))]))[0])
+    score = toxicity.Scorer(model).score
     want = {i: d[1] for i, d in plain.items() if score(d[1]) < 0.5}
     assert 0 < len(plain) - len(want) < 120
     stages = iter(corpus_pipeline.STAGES)

@@ -2,184 +2,238 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import random
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import partial
-from math import log
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField
 
-from .common import map_rows, worker_cache
-
-#: The classifier is fitted on at most so many labelled rows of a class (in the order of their ids' hash), each of at most so many characters.
-FIT_TOXIC, FIT_ORDINARY, FIT_CHARS = 1500, 3000, 32_000
-#: A window is a word three times over; views: whole words (0), or their first letters. A word of more than LONGEST characters is read in
-#: pieces of that many to its end, each STRIDE after the one before, so that the shortest view too reads every letter.
-VIEWS, LONGEST, STRIDE, REPEAT = (0, 4, 5, 6), 32, 4, 3
-#: Bytes of a dictionary, zstandard's level, and the bytes saved from which a window speaks for toxic text.
-DICTIONARY, LEVEL, SAVED = 32_768, 6, (3, 4, 5, 6)
+from .common import map_rows, slices, worker_cache
+
+#: The classifier is fitted on at most so many labelled rows of a class, in the order of their ids' hash. Of a fitted text with more bytes than
+#: FIT_BYTES, pieces of FIT_PIECE bytes at even distances over all of it are read; texts that are scored are read whole.
+FIT_TOXIC, FIT_ORDINARY, FIT_BYTES, FIT_PIECE = 1500, 3000, 32_768, 1024
+#: Bytes of a window. One begins at each word, and every STRIDE bytes within a longer one, so they leave no byte out.
+WINDOW, STRIDE = 32, 16
+#: Bytes of ordinary text that both dictionaries end on, of raw text that first finds toxic windows, and of the trained parts of both.
+SHARED, FIRST, TOXIC_PARTS, ORDINARY_PART = 200_000, 100_000, (8192, 4096, 4096), 8192
+#: Bytes saved from which a window is a sample for the toxic part, round by round, and for the ordinary part; samples of ordinary text.
+SAMPLED, COUNTER, ORDINARY_WINDOWS = (5, 5, 4), 2, 150_000
+#: zstandard's level, and the segment and substring lengths of its dictionary training.
+LEVEL, SEGMENT, PART = 3, 14, 8
+#: Bytes saved by which windows are counted, alone and as a mean of NEAR neighbours.
+SAVED, NEAR, MEANS = tuple(range(1, 9)), 5, (1, 1.6, 2.2, 2.8, 3.4, 4.2, 5)
 FOLDS = 5
-PUNCTUATION = ".,;:!?\"'()[]|<>{}#*-_/"
-MEMORY = 300_000
-
-
-def window(word: str) -> bytes:
-    return ((" " + word) * REPEAT + " ").encode()
-
-
-def tokens(text: str | None) -> list[str]:
-    """What stands between white space and punctuation, in lower case."""
-    text = (text or "").lower()
-    for mark in PUNCTUATION:
-        text = text.replace(mark, " ")
-    return text.split()
-
-
-def pieces(word: str) -> Iterator[str]:
-    """The word, or overlapping pieces of it that reach its end."""
-    last = len(word) - LONGEST
-    if last <= 0:
-        yield word
-    else:
-        yield from (word[i : i + LONGEST] for i in range(0, last, STRIDE))
-        yield word[last:]
-
-
-def dictionary(own: list[list[str]], other: list[list[str]], view: int) -> bytes:
-    """Windows of the words that speak most for one class, the strongest last, where zstandard reaches them with the least bits."""
-    cut = lambda docs: Counter(w for d in docs for w in {x[:view] if view else x for x in d})
-    mine, theirs = cut(own), cut(other)
-    found = []
-    for word, n in mine.items():
-        p, q = (n + 0.5) / (len(own) + 1), (theirs[word] + 0.5) / (len(other) + 1)
-        if n >= 3 and len(word) > 2 and p > 4 * q:
-            found.append((-n * log(p / q), word))
-    out, size = [], 0
-    for _, word in sorted(found):
-        out.append(window(word))
-        size += len(out[-1])
-        if size > DICTIONARY:
-            break
-    return b"".join(reversed(out)) or b"\0" * 8
+_GAP = re.compile(r"[\W_]+")
+_CHUNK = 1 << 20
+
+
+def plain(text: str | None) -> bytes:
+    """Words in lower case with a space before each and at the end; nothing for a text without any."""
+    words = _GAP.sub(" ", (text or "").lower()).strip(" ")
+    return f" {words} ".encode() if words else b""
+
+
+def windows(data: bytes) -> np.ndarray:
+    """(start, length) of each window: it begins at a space, or STRIDE bytes after the last place where one did."""
+    at = np.arange(len(data))
+    last = np.maximum.accumulate(np.where(np.frombuffer(data, np.uint8) == 32, at, 0))
+    start = at[:-1][(at - last)[:-1] % STRIDE == 0]
+    return np.stack((start, np.minimum(WINDOW, len(data) - start)), 1).astype(np.uint64)
+
+
+def spread(data: bytes) -> bytes:
+    """All of it, or pieces at even distances from its beginning to its end."""
+    if len(data) <= FIT_BYTES:
+        return data
+    n = FIT_BYTES // FIT_PIECE
+    return b"".join(data[i * (len(data) - FIT_PIECE) // (n - 1) :][:FIT_PIECE] for i in range(n))
+
+
+def compressor(content: bytes) -> zstandard.ZstdCompressor:
+    parameters = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+    found = zstandard.ZstdCompressionDict(content or b"\0" * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    found.precompute_compress(compression_params=parameters)
+    return zstandard.ZstdCompressor(dict_data=found, compression_params=parameters)
+
+
+def lengths(by: zstandard.ZstdCompressor, found) -> np.ndarray:
+    """Compressed length of each window; `found` is a list of bytes, or a buffer with its segments."""
+    return np.fromiter(map(len, by.multi_compress_to_buffer(found, threads=0)), np.int64) if len(found) else np.zeros(0, np.int64)
+
+
+def cut(texts: list[bytes]) -> list[bytes]:
+    return [t[a : a + n] for t in texts for a, n in windows(t).tolist()]
+
+
+def trained(size: int, samples: list[bytes]) -> bytes:
+    """zstandard's own dictionary of the samples; nothing if it finds them too few."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=SEGMENT, d=PART).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b""
+
+
+def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
+    """The toxic and the ordinary dictionary.
+
+    Both hold the same ordinary text, so that a window of it compresses to equal lengths, and before the window (nearest, so cheapest) a part of their own
+    that zstandard trains. The samples of the toxic part are the windows of toxic texts that it makes shorter than ordinary text does: first by
+    raw text of the other half of the toxic texts, then by the part trained before. Those of the ordinary part are the windows of
+    ordinary texts that the toxic part makes shorter, so what only chance put there counts for nothing.
+    """
+    rnd = random.Random(1)
+    order = rnd.sample(ordinary, len(ordinary))
+    text = b"".join(order)
+    shared, other = text[:SHARED], text[SHARED:][:FIRST] or text[:FIRST]
+    halves = toxic[::2], toxic[1::2]
+    mine = [cut(h) for h in halves]
+    theirs = cut(order)
+    theirs = rnd.sample(theirs, min(len(theirs), ORDINARY_WINDOWS))
+    with_ = lambda part: compressor(shared + part)
+    raw = [b"".join(h)[:FIRST] for h in reversed(halves)]
+    saved = [lengths(with_(other[: len(r)]), m) - lengths(with_(r), m) for m, r in zip(mine, raw, strict=True)]
+    bad = good = b""
+    for size, least in zip(TOXIC_PARTS, SAMPLED, strict=True):
+        bad = trained(size, [w for m, s in zip(mine, saved, strict=True) for w, x in zip(m, s.tolist(), strict=True) if x >= least])
+        by = with_(bad)
+        gain = lengths(with_(good), theirs) - lengths(by, theirs)
+        good = trained(ORDINARY_PART, [w for w, x in zip(theirs, gain.tolist(), strict=True) if x >= COUNTER])
+        against = with_(good)
+        saved = [lengths(against, m) - lengths(by, m) for m in mine]
+    return shared + bad, shared + good
+
+
+def features(saved: np.ndarray) -> list[float]:
+    """Of the bytes saved by the toxic dictionary, window by window: how many windows pass each threshold (log) and their share, alone and as means
+    of neighbours; the sum of what is saved, its balance, and the number of windows."""
+    n = len(saved)
+    near = np.convolve(saved, np.ones(NEAR) / NEAR, "same") if n >= NEAR else saved
+    out = []
+    for values, steps in ((saved, SAVED), (near, MEANS)):
+        for least in steps:
+            passed = int(np.count_nonzero(values >= least - 1e-9))
+            out += [np.log1p(passed), 20 * passed / (n + 20)]
+    return [*out, np.log1p(np.maximum(saved, 0).sum()), float(np.clip(saved, -4, 9).sum()) / (n + 20), np.log1p(n) / 5]
 
 
 @dataclass
 class Model:
-    """Dictionaries by view (toxic, ordinary), and the calibration: weights of the standardised features and the offset."""
+    """Both dictionaries, and the calibration: weights of the standardised features and the offset."""
 
-    dictionaries: list[tuple[bytes, bytes]]
+    toxic: bytes
+    ordinary: bytes
     mean: np.ndarray = field(default_factory=lambda: np.zeros(0))
     spread: np.ndarray = field(default_factory=lambda: np.zeros(0))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
-    def score(self, features: np.ndarray) -> np.ndarray:
-        x = (features - self.mean) / self.spread
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -500, 500)))
-
+    @property
+    def key(self) -> str:
+        return xxhash.xxh3_128_hexdigest(b"\0".join((self.toxic, self.ordinary)))
 
-class Windows(dict):
-    """For each token seen: which thresholds its windows pass, as bits, view by view; emptied when full, so its size is bounded."""
 
+class Scorer:
     def __init__(self, model: Model):
-        self.views = []
-        for pair in model.dictionaries:
-            self.views.append([self.compressor(d) for d in pair] + [{}])
-
-    @staticmethod
-    def compressor(content: bytes) -> zstandard.ZstdCompressor:
-        parameters = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
-        return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=parameters)
-
-    def __missing__(self, token: str) -> int:
-        bits = 0
-        for i, (toxic, ordinary, memo) in enumerate(self.views):
-            part = token[: VIEWS[i]] if VIEWS[i] else token
-            passed = memo.get(part)
-            if passed is None:
-                x = window(part)
-                saved = len(ordinary.compress(x)) - len(toxic.compress(x))
-                passed = sum(1 << k for k, s in enumerate(SAVED) if saved >= s)
-                if len(memo) >= MEMORY // 3:
-                    memo.clear()
-                memo[part] = passed
-            bits |= passed << (len(SAVED) * i)
-        if len(self) >= MEMORY:
-            self.clear()
-        self[token] = bits
-        return bits
-
-    def features(self, words: list[str]) -> list[float]:
-        """Per view and threshold: how many windows pass (log) and their share; and the number of windows (log)."""
-        counts, n = [0] * (len(VIEWS) * len(SAVED)), len(words)
-        if n and max(map(len, words)) > LONGEST:
-            n += sum(-(-(len(w) - LONGEST) // STRIDE) for w in words if len(w) > LONGEST)
-            words = (p for w in words for p in pieces(w))
-        for bits in filter(None, map(self.__getitem__, words)):
-            for k in range(len(counts)):
-                counts[k] += bits >> k & 1
-        out = []
-        for c in counts:
-            out += [log(1 + c), 20 * c / (n + 20)]
-        return [*out, log(1 + n) / 5]
-
-
-def fit(toxic: list[str], ordinary: list[str]) -> Model | None:
-    """Dictionaries from every second text, thresholds and weights from the others. None without texts of both classes."""
-    if len(toxic) < 2 or len(ordinary) < 2:
-        return None
-    sides = [[[p for w in tokens(t) for p in pieces(w)] for t in side] for side in (toxic, ordinary)]
-    model = Model([(dictionary(sides[0][::2], sides[1][::2], v), dictionary(sides[1][::2], sides[0][::2], v)) for v in VIEWS])
-    windows = Windows(model)
-    x = np.array([windows.features(tokens(t)) for t in (*toxic[1::2], *ordinary[1::2])])
-    y = np.array([1.0] * len(toxic[1::2]) + [0.0] * len(ordinary[1::2]))
-    model.mean, model.spread = x.mean(0), x.std(0) + 1e-9
-    a = np.c_[(x - model.mean) / model.spread, np.ones(len(x))]
+        self.model, self.toxic, self.ordinary = model, compressor(model.toxic), compressor(model.ordinary)
+
+    def saved(self, data: bytes) -> np.ndarray:
+        """Bytes that the toxic dictionary saves in each window. Long texts go in chunks; their windows are the same."""
+        place, out = windows(data) if data else np.zeros((0, 2), np.uint64), []
+        for a in range(0, len(place), _CHUNK // STRIDE):
+            part = place[a : a + _CHUNK // STRIDE].copy()
+            first, last = int(part[0, 0]), int(part[-1].sum())
+            part[:, 0] -= np.uint64(first)
+            found = zstandard.BufferWithSegments(data[first:last], part.tobytes())
+            out.append(lengths(self.ordinary, found) - lengths(self.toxic, found))
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+    def features(self, data: bytes) -> list[float]:
+        return features(self.saved(data))
+
+    def score(self, text: str | None) -> float:
+        """0 for a text without words."""
+        data, m = plain(text), self.model
+        if not data:
+            return 0.0
+        x = (np.array(self.features(data)) - m.mean) / m.spread
+        return float(1 / (1 + np.exp(-np.clip(x @ m.weights[:-1] + m.weights[-1], -500, 500))))
+
+
+def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean, spread and weights of a logistic regression, by Newton's steps."""
+    mean, scale = x.mean(0), x.std(0) + 1e-9
+    a = np.c_[(x - mean) / scale, np.ones(len(x))]
     w, hold = np.zeros(a.shape[1]), np.array([1.0] * (a.shape[1] - 1) + [1e-3])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -500, 500)))
         step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(hold), a.T @ (p - y) + hold * w)
         w -= step * min(1, 2 / max(1e-12, np.abs(step).max()))
-    model.weights = w
-    return model
+    return mean, scale, w
+
+
+def fit(toxic: list[bytes], ordinary: list[bytes], odds: float | None = None) -> Model | None:
+    """Dictionaries of all texts (from `plain`); thresholds and weights from lengths under dictionaries of the half that a text is not in. `odds` is how many
+    toxic rows there are to an ordinary one, where the texts given are not in that proportion. None without two texts of each class."""
+    toxic, ordinary = [t for t in toxic if t], [t for t in ordinary if t]
+    if len(toxic) < 2 or len(ordinary) < 2:
+        return None
+    rows, marks = [], []
+    for i in (0, 1):
+        scorer = Scorer(Model(*dictionaries(toxic[i::2], ordinary[i::2])))
+        for mark, side in ((1.0, toxic[1 - i :: 2]), (0.0, ordinary[1 - i :: 2])):
+            rows += [scorer.features(t) for t in side]
+            marks += [mark] * len(side)
+    mean, scale, weights = calibrate(np.array(rows), np.array(marks))
+    if odds:
+        weights[-1] += np.log(odds * len(ordinary) / len(toxic))
+    return Model(*dictionaries(toxic, ordinary), mean, scale, weights)
 
 
 def held_out(doc_id: F.Column) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0
 
 
+def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        found = [spread(plain(t)) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("toxic"), pa.array(found, pa.binary())], names=["doc", "toxic", "sample"])
+
+
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
-    """Fits on labelled rows outside the held-out fold. What comes to the driver is bounded by the three parameters above."""
+    """Fits on labelled rows outside the held-out fold. What comes to the driver is bounded by the FIT parameters above.
+
+    Of rows that share an id, the least text stands for it, and a label of 1 wins.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc"), F.col("toxic").cast("int").alias("toxic")).where("doc is not null and toxic in (0, 1)").where(~held_out(F.col("doc")))
     known = known.groupBy("doc").agg(F.max("toxic").alias("toxic"))
     part = lambda k, n: known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc"), "doc").limit(n)
     chosen = part(1, FIT_TOXIC).unionByName(part(0, FIT_ORDINARY))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where(F.length("text") <= FIT_CHARS)
-    rows = texts.join(F.broadcast(chosen), "doc").groupBy("doc", "toxic").agg(F.min("text").alias("text")).collect()
-    rows.sort(key=lambda r: r["doc"])
-    return fit([r["text"] for r in rows if r["toxic"]], [r["text"] for r in rows if not r["toxic"]])
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    rows = texts.join(F.broadcast(chosen), "doc").groupBy("doc", "toxic").agg(F.min("text").alias("text"))
+    rows = sorted(rows.mapInArrow(_samples, "doc long, toxic int, sample binary").collect(), key=lambda r: r["doc"])
+    ill, all_ = known.agg(F.count_if(F.col("toxic") == 1), F.count("*")).first()
+    return fit([bytes(r["sample"]) for r in rows if r["toxic"]], [bytes(r["sample"]) for r in rows if not r["toxic"]], ill / max(1, all_ - ill))
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Model | None, place: int, name: str) -> Iterator[pa.RecordBatch]:
-    windows = None
     for batch in batches:
-        got = batch.column(place).to_pylist()
-        if model is None or not got:
-            score = np.zeros(len(got))
-        else:
-            if windows is None:
-                windows = worker_cache(("toxicity", model.dictionaries), lambda: Windows(model))
-            score = model.score(np.array([windows.features(tokens(t)) for t in got]))
+        score = np.zeros(batch.num_rows)
+        if model is not None and batch.num_rows:
+            scorer = worker_cache(("toxicity", model.key), lambda: Scorer(model))
+            score = np.fromiter(map(scorer.score, batch.column(place).to_pylist()), np.float64, batch.num_rows)
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*batch.schema.names, name])
 
 
 def with_score(docs: DataFrame, model: Model | None, name: str, text_col: str = "text") -> DataFrame:
-    """docs with a column `name`, 0 to 1. Null and empty texts get the score of no words; without a model every score is 0."""
+    """docs with a column `name`, 0 to 1. Null, empty and blank texts and those without a letter or digit score 0; without a model every score is 0."""
     if name in docs.columns:
         raise ValueError(f"{name} is a column already")
     run = partial(_scored, model=model, place=docs.columns.index(text_col), name=name)
