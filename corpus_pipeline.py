@@ -15,7 +15,7 @@ def _as_before(new: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below 0.5 stay."""
+    """Documents scored below 0.5 stay; null, empty and blank texts score 0."""
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     name = "toxicity"
     while name in docs.columns:
@@ -24,8 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on too many pages of a source go; every document stays."""
-    return _as_before(lines.drop_lines(docs), docs)
+    """Lines on too many pages of a source, three at least, go; every document stays, null and empty texts as they are."""
+    return _as_before(lines.drop_lines(docs, least=3), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,12 +35,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the text are masked; every document stays."""
+    """Secrets in the text are masked; every document stays, null and empty texts as they are."""
     return _as_before(secrets.mask_secrets(docs), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens, one a row, with their ids."""
+    """Sequences of at most 2048 tokens, one a row, with their ids; a null or empty text is its end token alone."""
     import public_tokenizers
 
     return packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
