@@ -33,7 +33,7 @@ class Words:
     """
 
     def __init__(self, path: str):
-        self.path, self.memo = path, {}
+        self.path, self.memo, self.known, self.strange = path, {}, set(), set()
         with open(path, encoding="utf-8") as f:
             self.fast = self.ranked(json.load(f))
 
@@ -88,12 +88,20 @@ class Words:
                 self.memo[word] = bytes(ids[4 * start : 4 * end])
                 start = end + 1
 
-    def plain(self, text: str) -> bool:
-        return not (self.controls.search(text) or (not text.isascii() and self.odd.search(text)) or any(t in text for t in self.added))
+    def plain(self, texts: list[str]) -> list[bool]:
+        """Which texts hold nothing that only the library reads rightly. A character is looked up once."""
+        wide = [not t.isascii() for t in texts]
+        new = set().union(*(t for t, w in zip(texts, wide, strict=True) if w)) - self.known
+        strange = {c for c in new if self.odd.match(c)}
+        self.known |= new - strange
+        if not strange and not self.strange:
+            wide = [False] * len(texts)
+        self.strange |= strange
+        return [not (w and not self.strange.isdisjoint(t)) and not self.controls.search(t) and not any(x in t for x in self.added) for t, w in zip(texts, wide, strict=True)]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Each text's ids as little-endian 32-bit words."""
-        words = [t.split() if self.fast and self.plain(t) else None for t in texts]
+        words = [t.split() if plain else None for t, plain in zip(texts, self.plain(texts) if self.fast else [False] * len(texts), strict=True)]
         self.learn(set().union(*(w for w in words if w)))
         for text, own in zip(texts, words, strict=True):
             if own is None:
