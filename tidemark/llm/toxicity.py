@@ -144,27 +144,42 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.toxic, self.ordinary = model, compressor(model.toxic), compressor(model.ordinary)
 
-    def saved(self, data: bytes) -> np.ndarray:
-        """Bytes that the toxic dictionary saves in each window. Long texts go in chunks; their windows are the same."""
-        place, out = windows(data) if data else np.zeros((0, 2), np.uint64), []
+    def saved(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Bytes that the toxic dictionary saves in each window of each text. Many short texts are compressed in one call, a long one in
+        several; the windows are the same, and none is of two texts."""
+        places = [windows(t) if t else np.zeros((0, 2), np.uint64) for t in texts]
+        data, place = b"".join(texts), np.concatenate([np.zeros((0, 2), np.uint64), *places])
+        shift = np.cumsum([0, *map(len, texts[:-1])]).astype(np.uint64)
+        place[:, 0] += np.repeat(shift, [len(p) for p in places])
+        out = [np.zeros(0, np.int64)]
         for a in range(0, len(place), _CHUNK // STRIDE):
             part = place[a : a + _CHUNK // STRIDE].copy()
             first, last = int(part[0, 0]), int(part[-1].sum())
             part[:, 0] -= np.uint64(first)
             found = zstandard.BufferWithSegments(data[first:last], part.tobytes())
             out.append(lengths(self.ordinary, found) - lengths(self.toxic, found))
-        return np.concatenate(out) if out else np.zeros(0, np.int64)
-
-    def features(self, data: bytes) -> list[float]:
-        return features(self.saved(data))
+        return np.split(np.concatenate(out), np.cumsum([len(p) for p in places])[:-1])
+
+    def features(self, texts: list[bytes]) -> Iterator[list[float]]:
+        held, size = [], 0
+        for t in texts:
+            held.append(t)
+            size += len(t)
+            if size >= _CHUNK:
+                yield from map(features, self.saved(held))
+                held, size = [], 0
+        if held:
+            yield from map(features, self.saved(held))
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """0 for a text without words."""
+        data, m = [plain(t) for t in texts], self.model
+        x = (np.array(list(self.features(data))).reshape(len(data), -1) - m.mean) / m.spread
+        z = np.clip(np.einsum("ij,j->i", x, m.weights[:-1]) + m.weights[-1], -500, 500)
+        return np.where([len(d) > 0 for d in data], 1 / (1 + np.exp(-z)), 0.0)
 
     def score(self, text: str | None) -> float:
-        """0 for a text without words."""
-        data, m = plain(text), self.model
-        if not data:
-            return 0.0
-        x = (np.array(self.features(data)) - m.mean) / m.spread
-        return float(1 / (1 + np.exp(-np.clip(x @ m.weights[:-1] + m.weights[-1], -500, 500))))
+        return float(self.scores([text])[0])
 
 
 def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -189,7 +204,7 @@ def fit(toxic: list[bytes], ordinary: list[bytes], odds: float | None = None) ->
     for i in (0, 1):
         scorer = Scorer(Model(*dictionaries(toxic[i::2], ordinary[i::2])))
         for mark, side in ((1.0, toxic[1 - i :: 2]), (0.0, ordinary[1 - i :: 2])):
-            rows += [scorer.features(t) for t in side]
+            rows += scorer.features(side)
             marks += [mark] * len(side)
     mean, scale, weights = calibrate(np.array(rows), np.array(marks))
     if odds:
@@ -228,7 +243,7 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model | None, place: int,
         score = np.zeros(batch.num_rows)
         if model is not None and batch.num_rows:
             scorer = worker_cache(("toxicity", model.key), lambda: Scorer(model))
-            score = np.fromiter(map(scorer.score, batch.column(place).to_pylist()), np.float64, batch.num_rows)
+            score = scorer.scores(batch.column(place).to_pylist())
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*batch.schema.names, name])
 
 
