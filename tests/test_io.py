@@ -1,10 +1,12 @@
 """Sinks write what the sources read."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from tidemark.sources import sinks
 from tidemark.sources.tables import table
-from tidemark.streaming.windows import sessions
+from tidemark.streaming.windows import drained, hourly_counts, sessions
 
 DATA = "/root/testdata/sf0.001"
 
@@ -55,3 +57,19 @@ def test_streamed_sessions_equal_batch(spark, tmp_path):
     q.awaitTermination()
     batch = e.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).count()
     assert spark.table("sess").agg(F.sum("n"), F.count("*")).first() == batch.agg(F.sum("count"), F.count("*")).first()
+
+
+def test_late_rows_are_dropped_and_open_windows_wait(spark, tmp_path):
+    def batch(i, *times):
+        spark.createDataFrame([("click", f"2024-01-01 {t}") for t in times], "event_type string, t string").selectExpr("event_type", "cast(t as timestamp) ts").coalesce(1).write.parquet(f"{tmp_path}/{i}")
+        (file,) = [f for f in os.listdir(f"{tmp_path}/{i}") if f.endswith(".parquet")]
+        os.makedirs(f"{tmp_path}/in", exist_ok=True)
+        os.rename(f"{tmp_path}/{i}/{file}", f"{tmp_path}/in/{i}.parquet")
+        os.utime(f"{tmp_path}/in/{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+
+    batch(1, "10:05:00", "10:50:00", "13:10:00")  # the watermark goes to 12:10
+    batch(2, "10:20:00", "12:30:00", "15:00:00")  # 10:20 is late, 12:30 is not; to 14:00
+    batch(3, "16:30:00")
+    stream = spark.readStream.schema("event_type string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = {(str(r["started"])[11:16], r["n"]) for r in drained(hourly_counts(stream), "late").collect()}
+    assert got == {("10:00", 2), ("12:00", 1), ("13:00", 1)}

@@ -8,6 +8,7 @@ import pytest
 
 from tidemark import plans
 from tidemark.operators import recommenders as R
+from tidemark.operators.sparse import random_zeros
 
 
 def matrix(spark, cells):
@@ -92,3 +93,46 @@ def test_models_read_whole_tables(spark):
     for j in range(len(used)):
         w = sorted(weights(g, 0.5, 1.0, j).values(), reverse=True)[:10]
         assert sorted((v for (_, t), v in got.items() if t == ids[used[j]] and v > 1e-7), reverse=True) == pytest.approx([v for v in w if v > 1e-7], abs=1e-5)
+
+
+def test_pure_svd_equals_numpy(spark):
+    rnd = random.Random(6)
+    cells = {(rnd.randrange(30), rnd.randrange(12)): rnd.choice([1, 2, 5]) for _ in range(200)} | {(r, 11): 3 for r in range(3)}
+    m = dense(cells)
+    x = matrix(spark, cells)
+    factors = R.pure_svd(spark, x, 4)
+    u, s, vt = np.linalg.svd(m, full_matrices=False)
+    got = np.array([r["vector"] for r in sorted(factors.collect(), key=lambda r: r["col"])])
+    for mine, theirs in zip(got.T, vt[:4], strict=True):
+        assert np.allclose(mine, theirs, atol=1e-8) or np.allclose(mine, -theirs, atol=1e-8)
+    want = (u[:, :4] * s[:4]) @ vt[:4]
+    assert all(abs(want[r["row"], r["col"]] - r["value"]) < 1e-8 for r in R.svd_scores(x, factors).collect())
+
+
+@pytest.mark.parametrize("per_row", [1, 3, 50])
+def test_random_zeros_are_as_many_as_asked(spark, per_row):
+    rnd = random.Random(8)
+    ids = [rnd.randrange(10**6) for _ in range(20)]
+    cells = {(r, c) for r in range(12) for c in ids if rnd.random() < r / 11}
+    m = spark.createDataFrame([(r, c, 1.0) for r, c in cells], "row long, col long, value double")
+    held = {c for _, c in cells}
+    got = random_zeros(m, per_row, 5).collect()
+    assert len({(r["row"], r["col"]) for r in got}) == len(got) and all((r["row"], r["col"]) not in cells and r["col"] in held for r in got)
+    for row in {r for r, _ in cells}:
+        free = len(held) - sum(r == row for r, _ in cells)
+        assert sum(r["row"] == row for r in got) == min(per_row, free)
+
+
+def test_k_core_that_still_shrinks_is_an_error(spark):
+    chain = spark.createDataFrame([(i, j, 1.0) for i in range(6) for j in (i, i + 1)], "row long, col long, value double")
+    assert R.k_core(chain, 2, lambda df: df).count() == 0
+    with pytest.raises(RuntimeError):
+        R.k_core(chain, 2, lambda df: df, rounds=1)
+
+
+def test_asked_columns_alone(spark):
+    rnd = random.Random(9)
+    cells = {(rnd.randrange(20), rnd.randrange(15)): rnd.choice([1, 2, 3]) for _ in range(120)}
+    x = matrix(spark, cells)
+    whole = {tuple(r) for r in R.similarity(x, "cosine", k=4).collect() if r["j"] in (3, 7)}
+    assert {tuple(r) for r in R.similarity(x, "cosine", k=4, asked=spark.createDataFrame([(3,), (7,)], "col long")).collect()} == whole

@@ -65,12 +65,24 @@ def part_counts(df: DataFrame, keys: list[str], parts: dict[str, Column]) -> Dat
     return df.groupBy(*keys).agg(*(F.count_if(c).alias(n) for n, c in parts.items()))
 
 
-#: Q30: the blocks of each version of the feature set, smallest first.
+def add_blocks(base: DataFrame, blocks: list[tuple[str, DataFrame, list[str]]]) -> DataFrame:
+    """Q28: base with the columns of each block (name, frame, keys) beside it, as name_column; rows a block lacks get nulls. Blocks that share keys
+    should follow each other: their joins then share one shuffle of the base."""
+    for name, frame, keys in blocks:
+        base = base.join(frame.select(*keys, *(F.col(c).alias(f"{name}_{c}") for c in frame.columns if c not in keys)), keys, "left")
+    return base
+
+
+#: Q30: the blocks of each version of the feature set, smallest first, those of one key together.
+_USER, _PAIR, _DAY = ("history", "parts", "endorsement", "hours"), ("shares", "history_trend", "delays", "names", "recommender"), ("trend", "category_trend")
 VERSIONS = {
-    "68f": ("base", "history", "trend"),
-    "94f": ("base", "history", "trend", "category"),
-    "115f": ("base", "history", "trend", "category", "delays"),
-    "127": ("base", "history", "trend", "category", "delays", "windows", "endorsement"),
-    "142": ("base", "history", "trend", "category", "delays", "windows", "endorsement", "names"),
-    "147": ("base", "history", "trend", "category", "delays", "windows", "endorsement", "names", "recommender"),
+    version: tuple(b for b in (*_USER, *_PAIR, *_DAY) if b in blocks)
+    for version, blocks in {
+        "68f": {"history", "trend"},
+        "94f": {"history", "trend", "shares"},
+        "115f": {"history", "trend", "shares", "history_trend", "delays", "hours"},
+        "127": {"history", "trend", "shares", "history_trend", "delays", "hours", "parts", "category_trend", "endorsement"},
+        "142": {"history", "trend", "shares", "history_trend", "delays", "hours", "parts", "category_trend", "endorsement", "names"},
+        "147": {"history", "trend", "shares", "history_trend", "delays", "hours", "parts", "category_trend", "endorsement", "names", "recommender"},
+    }.items()
 }

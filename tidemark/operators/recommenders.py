@@ -14,11 +14,14 @@ from .sparse import multiply, normalise, top_per, transpose
 DENSE_LIMIT = 5000
 
 
-def gram(x: DataFrame) -> DataFrame:
+def gram(x: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     """(i, j, dot, common) over columns that share a row: the self join of a row's entries, summed up map-side. Cells i < j only are
-    joined; the others follow by symmetry, which halves the shuffle."""
+    joined; the others follow by symmetry, which halves the shuffle. With `asked` (col), only the columns j that it holds."""
     a = x.select("row", F.col("col").alias("i"), F.col("value").alias("vi"))
     b = x.select("row", F.col("col").alias("j"), F.col("value").alias("vj"))
+    if asked is not None:
+        b = b.join(asked.select(F.col("col").alias("j")), "j", "left_semi")
+        return a.join(b, "row").where("i <> j").groupBy("i", "j").agg(F.sum(F.col("vi") * F.col("vj")).alias("dot"), F.count("*").alias("common"))
     half = a.join(b, "row").where("i < j").groupBy("i", "j").agg(F.sum(F.col("vi") * F.col("vj")).alias("dot"), F.count("*").alias("common"))
     return half.unionByName(half.select(F.col("j").alias("i"), F.col("i").alias("j"), "dot", "common"))
 
@@ -28,8 +31,8 @@ def centred(x: DataFrame, by: str) -> DataFrame:
     return x.withColumn("value", F.col("value") - F.avg("value").over(W.partitionBy(by)))
 
 
-def similarity(x: DataFrame, kind: str = "cosine", shrink: float = 0.0, k: int = 100, alpha: float = 0.5, a: float = 1.0, b: float = 1.0) -> DataFrame:
-    """The top k columns i for each column j: (i, j, value); diagonal left out, 1e-6 added to denominators.
+def similarity(x: DataFrame, kind: str = "cosine", shrink: float = 0.0, k: int = 100, alpha: float = 0.5, a: float = 1.0, b: float = 1.0, asked: DataFrame | None = None) -> DataFrame:
+    """The top k columns i for each column j (of `asked`, if given): (i, j, value); diagonal left out, 1e-6 added to denominators.
 
     kinds: cosine, adjusted, pearson, asymmetric (norms to 2 alpha and 2 (1 - alpha)), jaccard (tanimoto), dice, tversky (a, b). The last three
     take values as they are and are meant for 0/1 matrices.
@@ -39,7 +42,7 @@ def similarity(x: DataFrame, kind: str = "cosine", shrink: float = 0.0, k: int =
     elif kind == "pearson":
         x = centred(x, "col")
     squares = x.groupBy("col").agg(F.sum(F.col("value") * F.col("value")).alias("q"))
-    g = gram(x).join(squares.select(F.col("col").alias("i"), F.col("q").alias("qi")), "i").join(squares.select(F.col("col").alias("j"), F.col("q").alias("qj")), "j")
+    g = gram(x, asked).join(squares.select(F.col("col").alias("i"), F.col("q").alias("qi")), "i").join(squares.select(F.col("col").alias("j"), F.col("q").alias("qj")), "j")
     dot, qi, qj = F.col("dot"), F.col("qi"), F.col("qj")
     if kind in ("cosine", "adjusted", "pearson"):
         below = F.sqrt(qi) * F.sqrt(qj)
@@ -147,8 +150,29 @@ def easer(spark: SparkSession, x: DataFrame, penalty: float, k: int) -> DataFram
     return spark.createDataFrame(rows, "i long, j long, value double")
 
 
-def k_core(x: DataFrame, k: int, materialize, rounds: int = 50) -> DataFrame:
-    """Rows and columns of less than k entries leave until none is left. `materialize` cuts the plan after each round."""
+def pure_svd(spark: SparkSession, x: DataFrame, rank: int) -> DataFrame:
+    """The right singular vectors of the matrix as it is (not centred), as (col, value, vector): `value` is the column's norm among them. Scores are
+    x V V', so V alone is the model; the largest entry of each vector is made positive.
+
+    The vectors are those of the dense Gram matrix; catalogues over DENSE_LIMIT items are refused rather than truncated.
+    """
+    ids, g = dense_gram(x)
+    values, vectors = np.linalg.eigh(g)
+    v = vectors[:, np.argsort(-values, kind="stable")[:rank]]
+    v = v * np.sign(v[np.abs(v).argmax(0), np.arange(v.shape[1])])
+    return spark.createDataFrame([(int(c), float(np.linalg.norm(r)), r.tolist()) for c, r in zip(ids, v, strict=True)], "col long, value double, vector array<double>")
+
+
+def svd_scores(x: DataFrame, factors: DataFrame) -> DataFrame:
+    """(row, col, value) of every row against every column that has a factor: each row's position among the factors is summed up first."""
+    held = x.join(factors.select("col", F.posexplode("vector").alias("k", "f")), "col").groupBy("row", "k").agg(F.sum(F.col("value") * F.col("f")).alias("u"))
+    wide = factors.select("col", F.posexplode("vector").alias("k", "f"))
+    return held.join(wide, "k").groupBy("row", "col").agg(F.sum(F.col("u") * F.col("f")).alias("value"))
+
+
+def k_core(x: DataFrame, k: int, materialize, rounds: int = 1000) -> DataFrame:
+    """Rows and columns of less than k entries leave until none is left. `materialize` cuts the plan after each round; a matrix that still
+    shrinks after so many rounds is an error, not a result."""
     n = x.count()
     for _ in range(rounds):
         x = x.join(x.groupBy("row").count().where(F.col("count") >= k).select("row"), "row", "left_semi")
@@ -156,9 +180,9 @@ def k_core(x: DataFrame, k: int, materialize, rounds: int = 50) -> DataFrame:
         x = materialize(x.select("row", "col", "value"))
         m = x.count()
         if m == n:
-            break
+            return x
         n = m
-    return x
+    raise RuntimeError(f"the core still shrinks after {rounds} rounds")
 
 
 def global_effects(x: DataFrame, item_shrink: float = 25.0, user_shrink: float = 10.0) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -31,10 +31,17 @@ def normalise(df: DataFrame, key: str, value: str = "value") -> DataFrame:
 
 
 def random_zeros(m: DataFrame, per_row: int, seed: int) -> DataFrame:
-    """Up to `per_row` columns a row that the matrix does not hold, drawn by hash: twice as many are drawn, those that are present go."""
-    columns = m.agg(F.max("col").alias("__high"), F.min("col").alias("__low"))
-    drawn = m.select("row").distinct().crossJoin(F.broadcast(columns))
-    pick = lambda i: F.col("__low") + F.pmod(F.xxhash64("row", i, F.lit(seed)), F.col("__high") - F.col("__low") + 1)
-    drawn = drawn.select("row", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(2 * per_row)), pick))).alias("col"))
-    absent = drawn.join(m.select("row", "col"), ["row", "col"], "left_anti")
+    """`per_row` columns a row, of those that some other row holds and it does not; all of them where there are fewer.
+
+    Drawn from the items themselves, by a hash of row and column: the row takes the first of them from a place on the circle of all columns that its own hash
+    gives, as many as it has entries and `per_row` more, so enough are left when its own are taken out.
+    """
+    from .sampling import dense_index
+
+    columns = dense_index(m.select("col").distinct().withColumn("__h", F.xxhash64("col", F.lit(seed))), ["__h", "col"], "__at").select("col", "__at")
+    rows = m.groupBy("row").agg(F.count_distinct("col").alias("__n")).crossJoin(F.broadcast(columns.agg(F.count("*").alias("__all"))))
+    many = F.least(F.col("__n") + per_row, F.col("__all"))
+    start = F.pmod(F.xxhash64("row", F.lit(seed)), F.col("__all"))
+    drawn = rows.select("row", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), many - 1), lambda i: F.pmod(start + i, F.col("__all")))).alias("__at"))
+    absent = drawn.join(columns, "__at").select("row", "col").join(m.select("row", "col"), ["row", "col"], "left_anti")
     return absent.withColumn("__r", F.row_number().over(W.partitionBy("row").orderBy(F.xxhash64("row", "col", F.lit(seed)), "col"))).where(F.col("__r") <= per_row).drop("__r")

@@ -258,10 +258,10 @@ def f19(spark, d):
     return items(spark, d).select("article", F.array_join("topics", " ").alias("name"))
 
 
-@q("f20_clean_names", "SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(substr(text, 1, 400), ' '), lambda x: lower(trim(regexp_replace(x, '^\"+', ''), ' '))), lambda x: x <> ''))), ' ') AS names FROM documents WHERE lang = 'en'")
+@q("f20_clean_names", "SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(text, ' '), lambda x: lower(trim(regexp_replace(x, '^\"+', ''), ' '))), lambda x: x <> ''))), ' ') AS names FROM documents")
 def f20(spark, d):
-    docs = table(spark, d, "documents", "doc_id", "text", "lang").where("lang = 'en'")
-    return docs.select("doc_id", F.array_join(L.clean_names(F.split(F.substring("text", 1, 400), " ", -1)), " ").alias("names"))
+    docs = table(spark, d, "documents", "doc_id", "text")
+    return docs.select("doc_id", F.array_join(L.clean_names(F.split("text", " ", -1)), " ").alias("names"))
 
 
 @q("f21_f22_text_lengths", "SELECT doc_id, length(replace(text, chr(10), '')) AS n, length(text || lang || source) AS total FROM documents")

@@ -68,20 +68,20 @@ def v06(spark, d):
     return _scored(spark, d).agg(R6(M.log_loss(p, y)).alias("logloss"), R6(M.rmse(p, y)).alias("rmse"), R6(M.accuracy(p, y)).alias("accuracy"), R6(M.f1(p, y)).alias("f1"))
 
 
-_SIM = "cand0 AS (SELECT l_orderkey AS g, l_partkey AS a FROM lineitem WHERE l_partkey < 500 GROUP BY ALL), e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)"
+_SIM = "cand0 AS (SELECT l_orderkey AS g, l_partkey AS a FROM lineitem GROUP BY ALL), e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)"
 
 
 @q("v08_intralist_diversity", f"WITH {_SIM} SELECT x.g AS impression_id, round(avg(1 - list_cosine_similarity(p.v, r.v)), 6) AS diversity FROM cand0 x JOIN cand0 y ON x.g = y.g AND x.a < y.a JOIN e p ON p.vec_id = x.a JOIN e r ON r.vec_id = y.a GROUP BY 1")
 def v08(spark, d):
     from ..operators.embeddings import pair_distances
 
-    lists = candidates(spark, d).where("article < 500").select("impression_id", "article").distinct()
+    lists = candidates(spark, d).select("impression_id", "article").distinct()
     return pair_distances(lists, vectors(spark, d), "impression_id").groupBy("impression_id").agg(R6(F.avg("distance")).alias("diversity"))
 
 
-@q("v09_serendipity", f"WITH {_SIM}, h AS (SELECT o_custkey AS u, l_partkey AS a FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_returnflag = 'R' AND l_partkey < 500 AND o_custkey < 100 GROUP BY ALL), r AS (SELECT o_custkey AS u, l_partkey AS a FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_returnflag = 'N' AND l_partkey < 500 AND o_custkey < 100 GROUP BY ALL) SELECT r.u AS user_id, round(avg(1 - list_cosine_similarity(x.v, y.v)), 6) AS serendipity FROM r JOIN h ON r.u = h.u JOIN e x ON x.vec_id = r.a JOIN e y ON y.vec_id = h.a GROUP BY 1")
+@q("v09_serendipity", f"WITH {_SIM}, h AS (SELECT o_custkey AS u, l_partkey AS a FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_returnflag = 'R' GROUP BY ALL), r AS (SELECT o_custkey AS u, l_partkey AS a FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_returnflag = 'N' GROUP BY ALL) SELECT r.u AS user_id, round(avg(1 - list_cosine_similarity(x.v, y.v)), 6) AS serendipity FROM r JOIN h ON r.u = h.u JOIN e x ON x.vec_id = r.a JOIN e y ON y.vec_id = h.a GROUP BY 1")
 def v09(spark, d):
-    lines = table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_returnflag").where("l_partkey < 500").join(table(spark, d, "orders", "o_orderkey", "o_custkey").where("o_custkey < 100"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_returnflag").join(table(spark, d, "orders", "o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     side = lambda flag: lines.where(F.col("l_returnflag") == flag).select(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("article")).distinct()
     v = vectors(spark, d).select("article", "vector")
     shown = side("N").join(v, "article").select("user_id", F.col("vector").alias("a"))
@@ -137,7 +137,7 @@ def v17(spark, d):
     return M.concentration(_counts(spark, d)).select(*(R6(F.col(c).cast("double")).alias(c) for c in ("gini", "herfindahl", "shannon")))
 
 
-_REC = ctes("clicks") + ", pop AS (SELECT article, row_number() OVER (ORDER BY n DESC, article) AS rank FROM (SELECT article, count(*) AS n FROM clicks WHERE ts < TIMESTAMP '2000-01-01' GROUP BY 1) ORDER BY 2 LIMIT 50), truth AS (SELECT DISTINCT user_id AS u, article FROM clicks WHERE ts >= TIMESTAMP '2000-01-01' AND user_id < 300), h AS (SELECT t.u, pop.rank, (x.article IS NOT NULL)::INTEGER AS hit FROM (SELECT DISTINCT u FROM truth) t CROSS JOIN pop LEFT JOIN truth x ON x.u = t.u AND x.article = pop.article), s AS (SELECT *, sum(hit) OVER (PARTITION BY u ORDER BY rank) AS seen FROM h), n AS (SELECT u, count(*) AS n FROM truth GROUP BY 1)"
+_REC = ctes("clicks") + ", pop AS (SELECT article, row_number() OVER (ORDER BY n DESC, article) AS rank FROM (SELECT article, count(*) AS n FROM clicks WHERE ts < TIMESTAMP '2000-01-01' GROUP BY 1) ORDER BY 2 LIMIT 50), truth AS (SELECT DISTINCT user_id AS u, article FROM clicks WHERE ts >= TIMESTAMP '2000-01-01'), h AS (SELECT t.u, pop.rank, (x.article IS NOT NULL)::INTEGER AS hit FROM (SELECT DISTINCT u FROM truth) t CROSS JOIN pop LEFT JOIN truth x ON x.u = t.u AND x.article = pop.article), s AS (SELECT *, sum(hit) OVER (PARTITION BY u ORDER BY rank) AS seen FROM h), n AS (SELECT u, count(*) AS n FROM truth GROUP BY 1)"
 
 
 def _recommended(spark, d):
@@ -145,7 +145,7 @@ def _recommended(spark, d):
     top = c.where("ts < '2000-01-01'").groupBy("article").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "article").limit(50)
     # A top list of 50 rows: numbering it in one task is bounded.
     top = top.select(F.col("article").alias("item"), F.row_number().over(W.orderBy(F.desc("n"), "article")).alias("rank"))
-    truth = c.where("ts >= '2000-01-01' and user_id < 300").select(F.col("user_id").alias("user"), F.col("article").alias("item")).distinct()
+    truth = c.where("ts >= '2000-01-01'").select(F.col("user_id").alias("user"), F.col("article").alias("item")).distinct()
     return truth.select("user").distinct().crossJoin(F.broadcast(top)), truth
 
 

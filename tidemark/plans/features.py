@@ -41,26 +41,26 @@ def q03(spark, d):
     return a.join(mode_of(e, ["user_id"], "category", "favourite"), "user_id")
 
 
-_PAIR = ", h AS (SELECT DISTINCT user_id, article AS seen FROM clicks WHERE user_id < 150), c AS (SELECT DISTINCT o_custkey AS user_id, l_partkey AS article FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey < 150)"
+_PAIR = ", h AS (SELECT DISTINCT user_id, article AS seen FROM clicks), c AS (SELECT DISTINCT o_custkey AS user_id, l_partkey AS article FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
 
 
-def _user_candidates(spark, d, below=150):
-    o = table(spark, d, "orders", "o_orderkey", "o_custkey").where(F.col("o_custkey") < below)
+def _user_candidates(spark, d):
+    o = table(spark, d, "orders", "o_orderkey", "o_custkey")
     return candidates(spark, d).join(o, F.col("impression_id") == F.col("o_orderkey")).select(F.col("o_custkey").alias("user_id"), "article").distinct()
 
 
 @q("q04_history_join_features", ctes("clicks", "items") + _PAIR + ", j AS (SELECT c.user_id, c.article, len(list_intersect(a.topics, b.topics))::DOUBLE / len(list_distinct(list_concat(a.topics, b.topics))) AS j, len(list_intersect(a.topics, b.topics)) AS common FROM c JOIN h ON h.user_id = c.user_id JOIN items a ON a.article = c.article JOIN items b ON b.article = seen) SELECT user_id, article, round(avg(j), 6) AS mean_j, round(max(j), 6) AS max_j, round(min(j), 6) AS min_j, round(stddev_samp(j), 6) AS std_j, round(avg(common), 6) AS mean_common, max(common)::INTEGER AS max_common FROM j GROUP BY ALL")
 def q04(spark, d):
-    h = clicks(spark, d).where("user_id < 150").select("user_id", F.col("article").alias("seen")).distinct()
+    h = clicks(spark, d).select("user_id", F.col("article").alias("seen")).distinct()
     f = B.history_similarity(_user_candidates(spark, d), h, items(spark, d).select("article", "topics"))
     return f.select("user_id", "article", *(c if c == "max_common" else R6(c).alias(c) for c in f.columns[2:]))
 
 
-_DEMAND = ", dem AS (SELECT DISTINCT article, shown::DATE AS day FROM cand WHERE impression_id < 2000)"
+_DEMAND = ", dem AS (SELECT DISTINCT article, shown::DATE AS day FROM cand)"
 
 
 def _demand(spark, d):
-    return candidates(spark, d).where("impression_id < 2000").select("article", F.to_date("shown").alias("day")).distinct()
+    return candidates(spark, d).select("article", F.to_date("shown").alias("day")).distinct()
 
 
 @q("q05_topic_trendiness", ctes("cand", "items") + _DEMAND + ", p AS (SELECT unnest(topics) AS topic, published::DATE AS day FROM items WHERE published IS NOT NULL), t AS (SELECT article, day, unnest(list_distinct(topics)) AS topic FROM dem JOIN items USING (article)), e AS (SELECT min(day) AS a, max(day) AS b FROM p), n AS (SELECT t.article, t.day, t.topic, CASE WHEN t.day - 1 BETWEEN a AND b THEN count(p.day) ELSE 0 END AS n FROM t CROSS JOIN e LEFT JOIN p ON p.topic = t.topic AND p.day >= t.day - 3 AND p.day <= t.day - 1 GROUP BY t.article, t.day, t.topic, a, b) SELECT article, day, sum(n)::BIGINT AS trend FROM n GROUP BY ALL")
@@ -119,27 +119,45 @@ def q10(spark, d):
     return _delays(spark, d).withColumn("age", R6("age"))
 
 
-@q("q11_add_mean_delays", _DELAY + ", c AS (SELECT DISTINCT o_custkey AS user_id, l_partkey AS article FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey < 150), e AS (SELECT user_id, article, unnest(topics) AS topic FROM c JOIN items USING (article)) SELECT e.user_id, e.article, round(avg(age), 6) AS age FROM e LEFT JOIN m ON m.topic = e.topic AND m.user_id = e.user_id GROUP BY ALL")
+@q("q11_add_mean_delays", _DELAY + ", c AS (SELECT DISTINCT o_custkey AS user_id, l_partkey AS article FROM orders JOIN lineitem ON o_orderkey = l_orderkey), e AS (SELECT user_id, article, unnest(topics) AS topic FROM c JOIN items USING (article)) SELECT e.user_id, e.article, round(avg(age), 6) AS age FROM e LEFT JOIN m ON m.topic = e.topic AND m.user_id = e.user_id GROUP BY ALL")
 def q11(spark, d):
     e = _user_candidates(spark, d).join(items(spark, d).select("article", F.explode("topics").alias("topic")), "article")
     return e.join(_delays(spark, d), ["topic", "user_id"], "left").groupBy("user_id", "article").agg(R6(F.avg("age")).alias("age"))
 
 
-_HT = ctes("clicks", "items") + ", t AS (SELECT user_id, unnest(topics) AS topic, quantity FROM clicks JOIN items USING (article)), m AS (SELECT user_id, topic, avg(quantity) AS q FROM t GROUP BY ALL)"
+_HT = ctes("clicks", "items") + ", p AS (SELECT topic, day, count(*) AS n FROM (SELECT unnest(topics) AS topic, published::DATE AS day FROM items WHERE published IS NOT NULL) GROUP BY ALL), ends AS (SELECT min(day) AS a, max(day) AS b FROM p), dem AS (SELECT DISTINCT article, ts::DATE AS day FROM clicks), t AS (SELECT article, day, unnest(list_distinct(topics)) AS topic FROM dem JOIN items USING (article)), n AS (SELECT t.article, t.day, CASE WHEN t.day - 1 BETWEEN a AND b THEN coalesce(sum(p.n), 0) ELSE 0 END AS n FROM t CROSS JOIN ends LEFT JOIN p ON p.topic = t.topic AND p.day >= t.day - 3 AND p.day <= t.day - 1 GROUP BY t.article, t.day, t.topic, a, b), tr AS (SELECT article, day, sum(n)::BIGINT AS trend FROM n GROUP BY ALL), h AS (SELECT user_id, c.article, trend FROM clicks c JOIN tr ON tr.article = c.article AND tr.day = c.ts::DATE), mu AS (SELECT user_id, avg(trend) AS mean FROM h GROUP BY 1), mt AS (SELECT topic, avg(trend) AS mean FROM (SELECT trend, unnest(topics) AS topic FROM h JOIN items USING (article)) GROUP BY 1)"
 
 
-@q("q12_history_trend_means", _HT + " SELECT user_id, topic, round(q, 6) AS q FROM m")
+def _history_trend(spark, d):
+    """(user_id, article, trend): what each article read had as its topic trendiness on the day it was read."""
+    i = items(spark, d)
+    h = clicks(spark, d).select("user_id", "article", F.to_date("ts").alias("day"))
+    published = i.where("published is not null").select(F.explode("topics").alias("topic"), F.to_date("published").alias("day"))
+    demand = h.select("article", "day").distinct().join(i.select("article", F.array_distinct("topics").alias("t")), "article").select("article", "day", F.explode("t").alias("topic"))
+    return h.join(B.trendiness(demand, published, 3, "topic").groupBy("article", "day").agg(F.sum("n").alias("trend")), ["article", "day"])
+
+
+def _topic_trend(spark, d):
+    return _history_trend(spark, d).join(items(spark, d).select("article", "topics"), "article").select(F.explode("topics").alias("topic"), "trend").groupBy("topic").agg(F.avg("trend").alias("mean"))
+
+
+@q("q12_history_trend_means", _HT + " SELECT user_id, round(mean, 6) AS mean FROM mu")
 def q12(spark, d):
-    t = clicks(spark, d).join(items(spark, d).select("article", "topics"), "article").select("user_id", F.explode("topics").alias("topic"), "quantity")
-    return t.groupBy("user_id", "topic").agg(R6(F.avg("quantity")).alias("q"))
+    return _history_trend(spark, d).groupBy("user_id").agg(R6(F.avg("trend")).alias("mean"))
 
 
-@q("q13_add_history_trend", _HT + ", c AS (SELECT DISTINCT o_custkey AS user_id, l_partkey AS article FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey < 150), e AS (SELECT user_id, article, len(topics) AS k, unnest(list_distinct(topics)) AS topic FROM c JOIN items USING (article)) SELECT e.user_id, e.article, round(sum(coalesce(q, 0)) / any_value(k), 6) AS trend FROM e LEFT JOIN m ON m.topic = e.topic AND m.user_id = e.user_id GROUP BY ALL")
+@q("q12_topic_trend_means", _HT + " SELECT topic, round(mean, 6) AS mean FROM mt")
+def q12b(spark, d):
+    return _topic_trend(spark, d).withColumn("mean", R6("mean"))
+
+
+@q("q13_add_history_trend", _HT + ", c AS (SELECT DISTINCT o_custkey AS user_id, l_partkey AS article FROM orders JOIN lineitem ON o_orderkey = l_orderkey), e AS (SELECT article, len(topics) AS k, unnest(list_distinct(topics)) AS topic FROM items), s AS (SELECT article, sum(coalesce(mean, 0)) / any_value(k) AS topics FROM e LEFT JOIN mt USING (topic) GROUP BY 1) SELECT c.user_id, c.article, round(mu.mean, 6) AS user_trend, round(topics, 6) AS topics_trend FROM c LEFT JOIN mu USING (user_id) LEFT JOIN s USING (article)")
 def q13(spark, d):
-    i = items(spark, d)
-    t = clicks(spark, d).join(i.select("article", "topics"), "article").select("user_id", F.explode("topics").alias("topic"), "quantity").groupBy("user_id", "topic").agg(F.avg("quantity").alias("q"))
-    e = _user_candidates(spark, d).join(i.select("article", F.size("topics").alias("k"), F.array_distinct("topics").alias("t")), "article").select("user_id", "article", "k", F.explode("t").alias("topic"))
-    return e.join(t, ["user_id", "topic"], "left").groupBy("user_id", "article").agg(R6(F.sum(F.coalesce("q", F.lit(0.0))) / F.max("k")).alias("trend"))
+    users = _history_trend(spark, d).groupBy("user_id").agg(R6(F.avg("trend")).alias("user_trend"))
+    e = items(spark, d).select("article", F.size("topics").alias("k"), F.explode(F.array_distinct("topics")).alias("topic")).join(_topic_trend(spark, d), "topic", "left")
+    # The topics' part is the article's alone.
+    articles = e.groupBy("article").agg(R6(F.sum(F.coalesce("mean", F.lit(0.0))) / F.max("k")).alias("topics_trend"))
+    return _user_candidates(spark, d).join(users, "user_id", "left").join(articles, "article", "left").select("user_id", "article", "user_trend", "topics_trend")
 
 
 _PARTS = ", ".join(f"count(*) FILTER (WHERE {c}) AS {n}" for n, c in {"morning": "hour(ts) >= 5 AND hour(ts) < 13", "noon": "hour(ts) >= 12 AND hour(ts) < 19", "evening": "hour(ts) >= 18 AND hour(ts) < 23", "night": "hour(ts) >= 22 OR hour(ts) < 6"}.items())
@@ -219,11 +237,11 @@ def q24(spark, d):
     return s.select("segment", "article", R6("rate").alias("rate"), "n", R6(N.norm_max("rate", "segment")).alias("rate_norm"))
 
 
-@q("q26_last_n_topic_cosine", ctes("clicks", "items") + f", {_TFIDF}, l AS (SELECT user_id, article FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, impression_id DESC, article DESC, seller DESC) AS rn FROM clicks WHERE user_id < 150) WHERE rn <= 5), u AS (SELECT user_id, token, sum(weight) AS w FROM l JOIN ti USING (article) GROUP BY ALL), c AS (SELECT DISTINCT o_custkey AS user_id, l_partkey AS article FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey < 150), nu AS (SELECT user_id, sqrt(sum(w * w)) AS n FROM u GROUP BY 1), d AS (SELECT c.user_id, c.article, sum(u.w * ti.weight) AS dot FROM c JOIN u ON u.user_id = c.user_id JOIN ti ON ti.article = c.article AND ti.token = u.token GROUP BY ALL) SELECT c.user_id, c.article, round(coalesce(dot / nu.n, 0), 6) AS cosine FROM c LEFT JOIN d ON d.user_id = c.user_id AND d.article = c.article LEFT JOIN nu ON nu.user_id = c.user_id")
+@q("q26_last_n_topic_cosine", ctes("clicks", "items") + f", {_TFIDF}, l AS (SELECT user_id, article FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, impression_id DESC, article DESC, seller DESC) AS rn FROM clicks) WHERE rn <= 5), u AS (SELECT user_id, token, sum(weight) AS w FROM l JOIN ti USING (article) GROUP BY ALL), c AS (SELECT DISTINCT o_custkey AS user_id, l_partkey AS article FROM orders JOIN lineitem ON o_orderkey = l_orderkey), nu AS (SELECT user_id, sqrt(sum(w * w)) AS n FROM u GROUP BY 1), d AS (SELECT c.user_id, c.article, sum(u.w * ti.weight) AS dot FROM c JOIN u ON u.user_id = c.user_id JOIN ti ON ti.article = c.article AND ti.token = u.token GROUP BY ALL) SELECT c.user_id, c.article, round(coalesce(dot / nu.n, 0), 6) AS cosine FROM c LEFT JOIN d ON d.user_id = c.user_id AND d.article = c.article LEFT JOIN nu ON nu.user_id = c.user_id")
 def q26(spark, d):
     tokens = B.topic_tf_idf(items(spark, d))
     w = W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("impression_id"), F.desc("article"), F.desc("seller"))
-    last = clicks(spark, d).where("user_id < 150").withColumn("rn", F.row_number().over(w)).where("rn <= 5").select("user_id", "article")
+    last = clicks(spark, d).withColumn("rn", F.row_number().over(w)).where("rn <= 5").select("user_id", "article")
     users = last.join(tokens, "article").groupBy("user_id", "token").agg(F.sum("weight").alias("weight"))
     return B.sparse_cosine(users, tokens, _user_candidates(spark, d), "user_id", "article").withColumn("cosine", R6("cosine"))
 
@@ -234,19 +252,14 @@ def q27(spark, d):
     return entropy(e, ["user_id"], "category", "entropy").select("user_id", R6(F.abs("entropy")).alias("entropy"))
 
 
-@q("q28_q39_build_features", ctes("cand", "clicks", "items") + f", {_POPR}, u AS (SELECT user_id, count(*) AS reads, avg(quantity) AS mean_quantity FROM clicks GROUP BY 1) SELECT impression_id, cand.article, seller, target, category, len(topics) AS n_topics, date_sub('day', published, shown) AS age, coalesce(reads, 0) AS reads, round(r, 6) AS popularity, round(cand.price / max(cand.price) OVER (PARTITION BY impression_id), 6) AS price_norm, rank() OVER (PARTITION BY impression_id ORDER BY r DESC)::INTEGER AS popularity_rank, round(cand.quantity - mean_quantity, 6) AS quantity_diff FROM cand JOIN orders ON impression_id = o_orderkey JOIN items ON items.article = cand.article JOIN pr ON pr.article = cand.article LEFT JOIN u ON u.user_id = o_custkey")
+@q("q28_q39_build_features", ctes("cand", "clicks", "items") + f", {_POPR}, u AS (SELECT user_id, count(*) AS reads, avg(quantity) AS mean_quantity FROM clicks GROUP BY 1) SELECT impression_id, o_custkey AS user_id, cand.article, seller, shown::DATE AS day, target, category, len(topics) AS n_topics, date_sub('day', published, shown) AS age, coalesce(reads, 0) AS reads, round(r, 6) AS popularity, round(cand.price / max(cand.price) OVER (PARTITION BY impression_id), 6) AS price_norm, rank() OVER (PARTITION BY impression_id ORDER BY r DESC)::INTEGER AS popularity_rank, round(cand.quantity - mean_quantity, 6) AS quantity_diff FROM cand JOIN orders ON impression_id = o_orderkey JOIN items ON items.article = cand.article JOIN pr ON pr.article = cand.article LEFT JOIN u ON u.user_id = o_custkey")
 def q28(spark, d):
     c = candidates(spark, d)
     o = table(spark, d, "orders", "o_orderkey", "o_custkey").select(F.col("o_orderkey").alias("impression_id"), F.col("o_custkey").alias("user_id"))
     u = clicks(spark, d).groupBy("user_id").agg(F.count("*").alias("reads"), F.avg("quantity").alias("mean_quantity"))
     x = c.join(o, "impression_id").join(items(spark, d).drop("price", "size", "kind"), "article").join(_ratio(spark, d), "article").join(u, "user_id", "left")
     x = N.normalise_all(x, {("impression_id",): {"price_norm": R6(N.norm_max("price", "impression_id")), "popularity_rank": N.rank_min("r", "impression_id", descending=True)}})
-    return x.select(*CAND, "target", "category", F.size("topics").cast("long").alias("n_topics"), T.between("DAY", "published", "shown").alias("age"), F.coalesce("reads", F.lit(0)).alias("reads"), R6("r").alias("popularity"), "price_norm", "popularity_rank", R6(F.col("quantity") - F.col("mean_quantity")).alias("quantity_diff"))
-
-
-@q("q30_feature_versions", "SELECT * FROM (VALUES ('68f', 3), ('94f', 4), ('115f', 5), ('127', 7), ('142', 8), ('147', 9)) t(version, blocks)")
-def q30(spark, d):
-    return spark.createDataFrame([(v, len(b)) for v, b in B.VERSIONS.items()], "version string, blocks int")
+    return x.select(*CAND, "user_id", F.to_date("shown").alias("day"), "target", "category", F.size("topics").cast("long").alias("n_topics"), T.between("DAY", "published", "shown").alias("age"), F.coalesce("reads", F.lit(0)).alias("reads"), R6("r").alias("popularity"), "price_norm", "popularity_rank", R6(F.col("quantity") - F.col("mean_quantity")).alias("quantity_diff"))
 
 
 @q("q31_topic_mixtures")
@@ -304,9 +317,9 @@ def q38(spark, d):
     return a.join(o, F.col("impression_id") == F.col("o_orderkey")).groupBy(F.col("o_orderpriority").alias("segment")).agg(R6(F.avg("auc")).alias("auc"), F.count("*").alias("n"))
 
 
-@q("m06_alpha_grid", ctes("cand") + ", g AS (SELECT i / 4.0 AS alpha FROM range(5) r(i)), s AS (SELECT alpha, impression_id, target, round(alpha * price / 100000 + (1 - alpha) * quantity / 50, 9) AS s FROM cand, g WHERE impression_id < 1500), a AS (SELECT x.alpha, x.impression_id, avg(CASE WHEN x.s > y.s THEN 1.0 WHEN x.s = y.s THEN 0.5 ELSE 0.0 END) AS auc FROM s x JOIN s y ON x.alpha = y.alpha AND x.impression_id = y.impression_id AND x.target = 1 AND y.target = 0 GROUP BY ALL) SELECT alpha::DOUBLE AS alpha, round(avg(auc), 6) AS auc FROM a GROUP BY 1")
+@q("m06_alpha_grid", ctes("cand") + ", g AS (SELECT i / 4.0 AS alpha FROM range(5) r(i)), s AS (SELECT alpha, impression_id, target, round(alpha * price / 100000 + (1 - alpha) * quantity / 50, 9) AS s FROM cand, g), a AS (SELECT x.alpha, x.impression_id, avg(CASE WHEN x.s > y.s THEN 1.0 WHEN x.s = y.s THEN 0.5 ELSE 0.0 END) AS auc FROM s x JOIN s y ON x.alpha = y.alpha AND x.impression_id = y.impression_id AND x.target = 1 AND y.target = 0 GROUP BY ALL) SELECT alpha::DOUBLE AS alpha, round(avg(auc), 6) AS auc FROM a GROUP BY 1")
 def m06(spark, d):
-    c = candidates(spark, d).where("impression_id < 1500").select("impression_id", "target", "price", "quantity", F.explode(F.array(*(F.lit(i / 4) for i in range(5)))).alias("alpha"))
+    c = candidates(spark, d).select("impression_id", "target", "price", "quantity", F.explode(F.array(*(F.lit(i / 4) for i in range(5)))).alias("alpha"))
     c = c.withColumn("s", F.round(F.col("alpha") * F.col("price") / 100000 + (1 - F.col("alpha")) * F.col("quantity") / 50, 9))
     return M.auc(c, ["alpha", "impression_id"], "s", "target").groupBy("alpha").agg(R6(F.avg("auc")).alias("auc"))
 

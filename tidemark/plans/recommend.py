@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from ..functions import vectors as V
 from ..operators import embeddings as E
 from ..operators import recommenders as R
-from ..operators.sampling import dense_index, hash_split
+from ..operators.sampling import dense_index, draw, hash_split
 from ..sources.tables import candidates, clicks, ctes, table, vectors
 from .base import register as q
 
@@ -16,47 +16,42 @@ R6 = lambda c: F.round(c, 6)
 
 
 def _urm(spark, d):
-    """Implicit user by item matrix of the first 60 users' categories; small enough for exact SQL beside it."""
+    """Implicit user by item matrix."""
     return clicks(spark, d).select(F.col("user_id").alias("row"), F.col("article").alias("col")).distinct().withColumn("value", F.lit(1.0))
 
 
 _URM = ctes("clicks") + ", x AS (SELECT DISTINCT user_id AS row, article AS col, 1.0::DOUBLE AS value FROM clicks)"
 
 
-def _quantities(spark, d, only="true"):
+def _quantities(spark, d):
     """Seller by size quantities: a dense-ish matrix."""
     lines = table(spark, d, "lineitem", "l_partkey", "l_suppkey", "l_quantity").join(table(spark, d, "part", "p_partkey", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
-    return lines.where(only).groupBy(F.col("l_suppkey").alias("row"), F.col("p_size").cast("long").alias("col")).agg(F.sum("l_quantity").alias("value"))
+    return lines.groupBy(F.col("l_suppkey").alias("row"), F.col("p_size").cast("long").alias("col")).agg(F.sum("l_quantity").alias("value"))
 
 
-def _small(spark, d):
-    """The third of it that the SQL beside the queries reads."""
-    return _quantities(spark, d, "l_partkey % 3 = 0")
+_QUANTITIES = "x AS (SELECT l_suppkey AS row, p_size::BIGINT AS col, sum(l_quantity) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)"
 
 
-_SMALL = "x AS (SELECT l_suppkey AS row, p_size::BIGINT AS col, sum(l_quantity) AS value FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_partkey % 3 = 0 GROUP BY ALL)"
-
-
-@q("e01_mean_user_embedding", ctes("clicks", "vec") + ", l AS (SELECT user_id, generate_subscripts(vector, 1) - 1 AS pos, unnest(vector) AS x FROM clicks JOIN vec USING (article) WHERE user_id < 200) SELECT user_id, pos::INTEGER AS pos, round(avg(x), 6) + 0.0 AS x FROM l GROUP BY ALL")
+@q("e01_mean_user_embedding", ctes("clicks", "vec") + ", l AS (SELECT user_id, generate_subscripts(vector, 1) - 1 AS pos, unnest(vector) AS x FROM clicks JOIN vec USING (article)) SELECT user_id, pos::INTEGER AS pos, round(avg(x), 6) + 0.0 AS x FROM l GROUP BY ALL")
 def e01(spark, d):
-    seen = clicks(spark, d).where("user_id < 200").join(vectors(spark, d), "article")
+    seen = clicks(spark, d).join(vectors(spark, d), "article")
     return E.mean_vector(seen, "user_id", "vector").select("user_id", F.posexplode("vector").alias("pos", "x")).withColumn("x", R6("x"))
 
 
-@q("e02_user_item_distance", ctes("clicks", "vec") + ", l AS (SELECT user_id, generate_subscripts(vector, 1) AS pos, unnest(vector) AS x FROM clicks JOIN vec USING (article) WHERE user_id < 50), m AS (SELECT user_id, pos, avg(x) AS x FROM l GROUP BY ALL), u AS (SELECT user_id, list(x ORDER BY pos) AS v FROM m GROUP BY 1) SELECT u.user_id, vec.article, round(1 - list_cosine_similarity(u.v, vec.vector), 6) AS distance FROM u JOIN (SELECT DISTINCT user_id, article FROM clicks) c ON c.user_id = u.user_id JOIN vec ON vec.article = c.article")
+@q("e02_user_item_distance", ctes("clicks", "vec") + ", l AS (SELECT user_id, generate_subscripts(vector, 1) AS pos, unnest(vector) AS x FROM clicks JOIN vec USING (article)), m AS (SELECT user_id, pos, avg(x) AS x FROM l GROUP BY ALL), u AS (SELECT user_id, list(x ORDER BY pos) AS v FROM m GROUP BY 1) SELECT u.user_id, vec.article, round(1 - list_cosine_similarity(u.v, vec.vector), 6) AS distance FROM u JOIN (SELECT DISTINCT user_id, article FROM clicks) c ON c.user_id = u.user_id JOIN vec ON vec.article = c.article")
 def e02(spark, d):
-    seen = clicks(spark, d).where("user_id < 50").join(vectors(spark, d), "article")
+    seen = clicks(spark, d).join(vectors(spark, d), "article")
     users = E.mean_vector(seen, "user_id", "vector", name="mean")
     return seen.select("user_id", "article", "vector").dropDuplicates(["user_id", "article"]).join(users, "user_id").select("user_id", "article", R6(V.cosine_distance("mean", "vector")).alias("distance"))
 
 
-_HIST = ctes("clicks", "cand", "vec") + ", h AS (SELECT DISTINCT user_id, article FROM clicks WHERE user_id < 100 AND article < 500), c AS (SELECT DISTINCT o_custkey AS user_id, article FROM cand JOIN orders ON impression_id = o_orderkey WHERE o_custkey < 100 AND article < 500), p AS (SELECT c.user_id, c.article, list_cosine_similarity(a.vector, b.vector) AS s, list_dot_product(a.vector, b.vector) AS dp, h.article AS seen FROM c JOIN h ON c.user_id = h.user_id AND h.article <> c.article JOIN vec a ON a.article = c.article JOIN vec b ON b.article = h.article)"
+_HIST = ctes("clicks", "cand", "vec") + ", h AS (SELECT DISTINCT user_id, article FROM clicks), c AS (SELECT DISTINCT o_custkey AS user_id, article FROM cand JOIN orders ON impression_id = o_orderkey), p AS (SELECT c.user_id, c.article, list_cosine_similarity(a.vector, b.vector) AS s, list_dot_product(a.vector, b.vector) AS dp, h.article AS seen FROM c JOIN h ON c.user_id = h.user_id AND h.article <> c.article JOIN vec a ON a.article = c.article JOIN vec b ON b.article = h.article)"
 
 
 def _pairs(spark, d):
-    h = clicks(spark, d).where("user_id < 100 and article < 500").select("user_id", F.col("article").alias("seen")).distinct()
-    o = table(spark, d, "orders", "o_orderkey", "o_custkey").where("o_custkey < 100")
-    c = candidates(spark, d).where("article < 500").join(o, F.col("impression_id") == F.col("o_orderkey")).select(F.col("o_custkey").alias("user_id"), "article").distinct()
+    h = clicks(spark, d).select("user_id", F.col("article").alias("seen")).distinct()
+    o = table(spark, d, "orders", "o_orderkey", "o_custkey")
+    c = candidates(spark, d).join(o, F.col("impression_id") == F.col("o_orderkey")).select(F.col("o_custkey").alias("user_id"), "article").distinct()
     v = vectors(spark, d)
     return c.join(h, "user_id").where("article <> seen").join(v.select("article", F.col("vector").alias("a")), "article").join(v.select(F.col("article").alias("seen"), F.col("vector").alias("b")), "seen")
 
@@ -68,10 +63,10 @@ def e03(spark, d):
 
 
 def _weighted(name, weight, sql):
-    @q(name, ctes("clicks", "vec") + f", c AS (SELECT *, max(ts) OVER (PARTITION BY user_id) AS last_ts, max(quantity) OVER (PARTITION BY user_id) AS top FROM clicks JOIN vec USING (article) WHERE user_id < 100), w AS (SELECT *, {sql} AS w0 FROM c), n AS (SELECT *, w0 / nullif(sum(w0) OVER (PARTITION BY user_id), 0) AS w FROM w), l AS (SELECT user_id, w, generate_subscripts(vector, 1) - 1 AS pos, unnest(vector) AS x FROM n WHERE w IS NOT NULL) SELECT user_id, pos::INTEGER AS pos, round(avg(x * w), 6) + 0.0 AS x FROM l GROUP BY ALL")
+    @q(name, ctes("clicks", "vec") + f", c AS (SELECT *, max(ts) OVER (PARTITION BY user_id) AS last_ts, max(quantity) OVER (PARTITION BY user_id) AS top FROM clicks JOIN vec USING (article)), w AS (SELECT *, {sql} AS w0 FROM c), n AS (SELECT *, w0 / nullif(sum(w0) OVER (PARTITION BY user_id), 0) AS w FROM w), l AS (SELECT user_id, w, generate_subscripts(vector, 1) - 1 AS pos, unnest(vector) AS x FROM n WHERE w IS NOT NULL) SELECT user_id, pos::INTEGER AS pos, round(avg(x * w), 6) + 0.0 AS x FROM l GROUP BY ALL")
     def run(spark, d):
         u = W.partitionBy("user_id")
-        c = clicks(spark, d).where("user_id < 100").join(vectors(spark, d), "article").withColumns({"last_ts": F.max("ts").over(u), "top": F.max("quantity").over(u)})
+        c = clicks(spark, d).join(vectors(spark, d), "article").withColumns({"last_ts": F.max("ts").over(u), "top": F.max("quantity").over(u)})
         c = c.withColumn("w0", weight()).withColumn("w", F.try_divide("w0", F.sum("w0").over(u))).where("w is not null")
         return E.mean_vector(c, "user_id", "vector", F.col("w")).select("user_id", F.posexplode("vector").alias("pos", "x")).withColumn("x", R6("x"))
 
@@ -151,100 +146,102 @@ _SIMS = {
     "adjusted": ({}, ", y AS (SELECT row, col, value - avg(value) OVER (PARTITION BY row) AS value FROM x)", "dot / (sqrt(ni.q) * sqrt(nj.q) + 1e-6)"),
     "pearson": ({}, ", y AS (SELECT row, col, value - avg(value) OVER (PARTITION BY col) AS value FROM x)", "dot / (sqrt(ni.q) * sqrt(nj.q) + 1e-6)"),
     "asymmetric": ({"alpha": 0.3}, _PLAIN, "dot / (pow(ni.q, 0.3) * pow(nj.q, 0.7) + 1e-6)"),
-    "jaccard": ({}, ", y AS (SELECT row, col, 1.0 AS value FROM x WHERE value > 120)", "dot / (ni.q + nj.q - dot + 1e-6)"),
-    "dice": ({}, ", y AS (SELECT row, col, 1.0 AS value FROM x WHERE value > 120)", "2 * dot / (ni.q + nj.q + 1e-6)"),
-    "tversky": ({"a": 0.4, "b": 1.2}, ", y AS (SELECT row, col, 1.0 AS value FROM x WHERE value > 120)", "dot / (dot + (ni.q - dot) * 0.4 + (nj.q - dot) * 1.2 + 1e-6)"),
+    "jaccard": ({}, ", y AS (SELECT row, col, 1.0 AS value FROM x WHERE value > 300)", "dot / (ni.q + nj.q - dot + 1e-6)"),
+    "dice": ({}, ", y AS (SELECT row, col, 1.0 AS value FROM x WHERE value > 300)", "2 * dot / (ni.q + nj.q + 1e-6)"),
+    "tversky": ({"a": 0.4, "b": 1.2}, ", y AS (SELECT row, col, 1.0 AS value FROM x WHERE value > 300)", "dot / (dot + (ni.q - dot) * 0.4 + (nj.q - dot) * 1.2 + 1e-6)"),
 }
 
 
 def _similarity(kind, extra):
     def run(spark, d):
-        x = _small(spark, d)
+        x = _quantities(spark, d)
         if kind in ("jaccard", "dice", "tversky"):
-            x = x.where("value > 120").withColumn("value", F.lit(1.0))
+            x = x.where("value > 300").withColumn("value", F.lit(1.0))
         return R.similarity(x, kind, k=5, **extra).select("i", "j", R6("value").alias("value"))
 
     return run
 
 
 for _kind, (_extra, _from, _formula) in _SIMS.items():
-    q(f"r06_r07_similarity_{_kind}", "WITH " + _SMALL + _from + _GRAM.replace("{formula}", _formula))(_similarity(_kind, _extra))
+    q(f"r06_r07_similarity_{_kind}", "WITH " + _QUANTITIES + _from + _GRAM.replace("{formula}", _formula))(_similarity(_kind, _extra))
 
 
-@q("r08_euclidean", "WITH " + _SMALL + _PLAIN + _GRAM.replace("{formula}", "1 / (ln(1 + sqrt(greatest(ni.q + nj.q - 2 * dot, 0))) + 1e-9)"))
+@q("r08_euclidean", "WITH " + _QUANTITIES + ", n AS (SELECT col, sum(value * value) AS q FROM x GROUP BY 1), g AS (SELECT a.col AS i, b.col AS j, sum(a.value * b.value) AS dot FROM x a JOIN x b ON a.row = b.row GROUP BY ALL), s AS (SELECT ni.col AS i, nj.col AS j, 1 / (ln(1 + sqrt(greatest(ni.q + nj.q - 2 * coalesce(dot, 0), 0))) + 1e-9) AS v FROM n ni JOIN n nj ON ni.col <> nj.col LEFT JOIN g ON g.i = ni.col AND g.j = nj.col), t AS (SELECT *, row_number() OVER (PARTITION BY j ORDER BY v DESC, i) AS rn FROM s) SELECT i, j, round(v, 6) AS value FROM t WHERE rn <= 5")
 def r08(spark, d):
-    return R.euclidean(_small(spark, d), 5, "log").select("i", "j", R6("value").alias("value"))
+    return R.euclidean(_quantities(spark, d), 5, "log").select("i", "j", R6("value").alias("value"))
 
 
-_CF = _URM + ", y AS (SELECT * FROM x WHERE col < 400), n AS (SELECT col, sum(value) AS q FROM y GROUP BY 1), g AS (SELECT a.col AS i, b.col AS j, sum(a.value * b.value) AS dot FROM y a JOIN y b ON a.row = b.row AND a.col <> b.col GROUP BY ALL), s AS (SELECT i, j, dot / (sqrt(ni.q) * sqrt(nj.q) + 5 + 1e-6) AS v FROM g JOIN n ni ON ni.col = i JOIN n nj ON nj.col = j), w AS (SELECT i, j, v FROM (SELECT *, row_number() OVER (PARTITION BY j ORDER BY round(v, 9) DESC, i) AS rn FROM s) WHERE rn <= 20)"
+_CF = _URM + ", y AS (SELECT * FROM x), n AS (SELECT col, sum(value) AS q FROM y GROUP BY 1), g AS (SELECT a.col AS i, b.col AS j, sum(a.value * b.value) AS dot FROM y a JOIN y b ON a.row = b.row AND a.col <> b.col GROUP BY ALL), s AS (SELECT i, j, dot / (sqrt(ni.q) * sqrt(nj.q) + 5 + 1e-6) AS v FROM g JOIN n ni ON ni.col = i JOIN n nj ON nj.col = j), w AS (SELECT i, j, v FROM (SELECT *, row_number() OVER (PARTITION BY j ORDER BY round(v, 9) DESC, i) AS rn FROM s) WHERE rn <= 20)"
 
 
 def _item_knn(spark, d):
-    y = _urm(spark, d).where("col < 400")
+    y = _urm(spark, d)
     s = R.similarity(y, "cosine", shrink=5.0, k=1_000_000).withColumn("order", F.round("value", 9))
     from ..operators.sparse import top_per
 
     return y, top_per(s, "j", "order", ["i"], 20).drop("order")
 
 
-@q("r10_r25_item_knn_scores", _CF + " SELECT y.row AS user_id, w.j AS article, round(sum(w.v), 6) AS score FROM y JOIN w ON y.col = w.i WHERE y.row < 100 GROUP BY ALL")
+@q("r10_r25_item_knn_scores", _CF + " SELECT y.row AS user_id, w.j AS article, round(sum(w.v), 6) AS score FROM y JOIN w ON y.col = w.i GROUP BY ALL")
 def r10(spark, d):
     y, w = _item_knn(spark, d)
-    return R.score(y.where("row < 100"), w).select(F.col("row").alias("user_id"), F.col("col").alias("article"), R6("value").alias("score"))
+    return R.score(y, w).select(F.col("row").alias("user_id"), F.col("col").alias("article"), R6("value").alias("score"))
 
 
-@q("r25_candidate_scores", _CF + ", c AS (SELECT DISTINCT o_custkey AS row, l_partkey AS col FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey < 100 AND l_partkey < 400), z AS (SELECT y.row, w.j AS col, sum(w.v) AS v FROM y JOIN w ON y.col = w.i GROUP BY ALL) SELECT c.row AS user_id, c.col AS article, round(coalesce(v, 0), 6) AS score FROM c LEFT JOIN z ON z.row = c.row AND z.col = c.col")
+@q("r25_candidate_scores", _CF + ", c AS (SELECT DISTINCT o_custkey AS row, l_partkey AS col FROM orders JOIN lineitem ON o_orderkey = l_orderkey), z AS (SELECT y.row, w.j AS col, sum(w.v) AS v FROM y JOIN w ON y.col = w.i GROUP BY ALL) SELECT c.row AS user_id, c.col AS article, round(coalesce(v, 0), 6) AS score FROM c LEFT JOIN z ON z.row = c.row AND z.col = c.col")
 def r25(spark, d):
     y, w = _item_knn(spark, d)
-    o = table(spark, d, "orders", "o_orderkey", "o_custkey").where("o_custkey < 100")
-    c = candidates(spark, d).where("article < 400").join(o, F.col("impression_id") == F.col("o_orderkey")).select(F.col("o_custkey").alias("row"), F.col("article").alias("col")).distinct()
+    o = table(spark, d, "orders", "o_orderkey", "o_custkey")
+    c = candidates(spark, d).join(o, F.col("impression_id") == F.col("o_orderkey")).select(F.col("o_custkey").alias("row"), F.col("article").alias("col")).distinct()
     return R.score(y.join(c.select("row").distinct(), "row", "left_semi"), w, c).select(F.col("row").alias("user_id"), F.col("col").alias("article"), R6("value").alias("score"))
 
 
-@q("r10_r36_user_knn", _URM + ", y AS (SELECT col AS row, row AS col, value FROM x WHERE row < 150)" + _GRAM.replace("{formula}", "round(dot / (sqrt(ni.q) * sqrt(nj.q) + 1e-6), 9)"))
+@q("r10_r36_user_knn", _URM + ", y AS (SELECT col AS row, row AS col, value FROM x)" + _GRAM.replace("{formula}", "round(dot / (sqrt(ni.q) * sqrt(nj.q) + 1e-6), 9)"))
 def r10u(spark, d):
     from ..operators.sparse import top_per, transpose
 
-    s = R.similarity(transpose(_urm(spark, d).where("row < 150")), "cosine", k=1_000_000).withColumn("value", F.round("value", 9))
+    s = R.similarity(transpose(_urm(spark, d)), "cosine", k=1_000_000).withColumn("value", F.round("value", 9))
     return top_per(s, "j", "value", ["i"], 5).select("i", "j", R6("value").alias("value"))
 
 
-@q("r11_r27_content_knn", "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 150), s AS (SELECT a.vec_id AS i, b.vec_id AS j, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)) + 1e-6) AS v FROM e a JOIN e b ON a.vec_id <> b.vec_id), t AS (SELECT *, row_number() OVER (PARTITION BY j ORDER BY v DESC, i) AS rn FROM s) SELECT i, j, round(v, 6) AS value FROM t WHERE rn <= 5")
+@q("r11_r27_content_knn", "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT a.vec_id AS i, b.vec_id AS j, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)) + 1e-6) AS v FROM e a JOIN e b ON a.vec_id <> b.vec_id AND b.vec_id % 100 = 0), t AS (SELECT *, row_number() OVER (PARTITION BY j ORDER BY v DESC, i) AS rn FROM s) SELECT i, j, round(v, 6) AS value FROM t WHERE rn <= 5")
 def r11(spark, d):
-    icm = vectors(spark, d).where("article < 150").select(F.col("article").alias("col"), F.posexplode("vector").alias("row", "value")).select("row", "col", "value")
-    return R.similarity(icm, "cosine", k=5).select("i", "j", R6("value").alias("value"))
+    icm = vectors(spark, d).select(F.col("article").alias("col"), F.posexplode("vector").alias("row", "value")).select("row", "col", "value")
+    # Each item whose id is divisible by 100, ranked against all items.
+    asked = icm.select("col").distinct().where("col % 100 = 0")
+    return R.similarity(icm, "cosine", k=5, asked=asked).select("i", "j", R6("value").alias("value"))
 
 
-@q("r12_hybrid_similarity", "WITH " + _SMALL + ", a AS (SELECT row, col, value FROM x), u AS (SELECT i, j, sum(v) AS v FROM (SELECT p.col AS i, r.col AS j, 0.7 * sum(p.value * r.value) AS v FROM a p JOIN a r ON p.row = r.row AND p.col <> r.col AND p.col < 20 AND r.col < 20 GROUP BY ALL UNION ALL SELECT p.col, r.col, 0.3 * count(*) FROM a p JOIN a r ON p.row = r.row AND p.col <> r.col AND p.col < 20 AND r.col < 20 GROUP BY ALL) GROUP BY ALL) SELECT i, j, round(v, 6) AS value FROM u")
+@q("r12_hybrid_similarity", "WITH " + _QUANTITIES + ", a AS (SELECT row, col, value FROM x), u AS (SELECT i, j, sum(v) AS v FROM (SELECT p.col AS i, r.col AS j, 0.7 * sum(p.value * r.value) AS v FROM a p JOIN a r ON p.row = r.row AND p.col <> r.col GROUP BY ALL UNION ALL SELECT p.col, r.col, 0.3 * count(*) FROM a p JOIN a r ON p.row = r.row AND p.col <> r.col GROUP BY ALL) GROUP BY ALL) SELECT i, j, round(v, 6) AS value FROM u")
 def r12(spark, d):
-    g = R.gram(_small(spark, d).where("col < 20"))
+    g = R.gram(_quantities(spark, d))
     a, b = g.select("i", "j", (0.7 * F.col("dot")).alias("value")), g.select("i", "j", (0.3 * F.col("common")).alias("value"))
     return a.unionByName(b).groupBy("i", "j").agg(R6(F.sum("value")).alias("value"))
 
 
-@q("r13_bm25", "WITH " + _SMALL + ", n AS (SELECT count(DISTINCT row) AS n, sum(value) AS t FROM x), l AS (SELECT row, sum(value) AS l FROM x GROUP BY 1), f AS (SELECT col, count(*) AS df FROM x GROUP BY 1) SELECT x.row, x.col, round(ln(n::DOUBLE / (1 + df)) * value * 2.2 / (1.2 * (0.25 + 0.75 * l / (t / n)) + value), 6) AS value FROM x JOIN l ON l.row = x.row JOIN f ON f.col = x.col, n")
+@q("r13_bm25", "WITH " + _QUANTITIES + ", n AS (SELECT count(DISTINCT row) AS n, sum(value) AS t FROM x), l AS (SELECT row, sum(value) AS l FROM x GROUP BY 1), f AS (SELECT col, count(*) AS df FROM x GROUP BY 1) SELECT x.row, x.col, round(ln(n::DOUBLE / (1 + df)) * value * 2.2 / (1.2 * (0.25 + 0.75 * l / (t / n)) + value), 6) AS value FROM x JOIN l ON l.row = x.row JOIN f ON f.col = x.col, n")
 def r13(spark, d):
-    return R.bm25(_small(spark, d)).withColumn("value", R6("value"))
+    return R.bm25(_quantities(spark, d)).withColumn("value", R6("value"))
 
 
-@q("r13_tf_idf", "WITH " + _SMALL + ", n AS (SELECT count(DISTINCT row) AS n FROM x), f AS (SELECT col, count(*) AS df FROM x GROUP BY 1) SELECT x.row, x.col, round(sqrt(value) * ln(n::DOUBLE / (1 + df)), 6) AS value FROM x JOIN f ON f.col = x.col, n")
+@q("r13_tf_idf", "WITH " + _QUANTITIES + ", n AS (SELECT count(DISTINCT row) AS n FROM x), f AS (SELECT col, count(*) AS df FROM x GROUP BY 1) SELECT x.row, x.col, round(sqrt(value) * ln(n::DOUBLE / (1 + df)), 6) AS value FROM x JOIN f ON f.col = x.col, n")
 def r13b(spark, d):
-    return R.tf_idf(_small(spark, d)).withColumn("value", R6("value"))
+    return R.tf_idf(_quantities(spark, d)).withColumn("value", R6("value"))
 
 
 def _walk(beta):
     by = f" / pow(d, {beta})" if beta else ""
-    return "WITH " + _SMALL + f", o AS (SELECT row, col FROM x WHERE value > 120), pu AS (SELECT row, col, 1.0 / count(*) OVER (PARTITION BY row) AS p FROM o), pi AS (SELECT row, col, 1.0 / count(*) OVER (PARTITION BY col) AS p FROM o), d AS (SELECT col, count(*)::DOUBLE AS d FROM o GROUP BY 1), w AS (SELECT pi.col AS i, pu.col AS j, sum(pi.p * pu.p){by.replace('d,', 'any_value(d.d),')} AS v FROM pi JOIN pu ON pi.row = pu.row AND pi.col <> pu.col JOIN d ON d.col = pu.col GROUP BY pi.col, pu.col), t AS (SELECT i, j, v / sum(v) OVER (PARTITION BY i) AS v FROM w) SELECT i, j, round(v, 6) AS value FROM t"
+    return "WITH " + _QUANTITIES + f", o AS (SELECT row, col FROM x WHERE value > 300), pu AS (SELECT row, col, 1.0 / count(*) OVER (PARTITION BY row) AS p FROM o), pi AS (SELECT row, col, 1.0 / count(*) OVER (PARTITION BY col) AS p FROM o), d AS (SELECT col, count(*)::DOUBLE AS d FROM o GROUP BY 1), w AS (SELECT pi.col AS i, pu.col AS j, sum(pi.p * pu.p){by.replace('d,', 'any_value(d.d),')} AS v FROM pi JOIN pu ON pi.row = pu.row AND pi.col <> pu.col JOIN d ON d.col = pu.col GROUP BY pi.col, pu.col), t AS (SELECT i, j, v / sum(v) OVER (PARTITION BY i) AS v FROM w) SELECT i, j, round(v, 6) AS value FROM t"
 
 
 @q("r14_p3alpha", _walk(0))
 def r14(spark, d):
-    return R.p3alpha(_small(spark, d).where("value > 120"), k=1000).withColumn("value", R6("value"))
+    return R.p3alpha(_quantities(spark, d).where("value > 300"), k=1000).withColumn("value", R6("value"))
 
 
 @q("r15_rp3beta", _walk(0.6))
 def r15(spark, d):
-    return R.p3alpha(_small(spark, d).where("value > 120"), beta=0.6, k=1000).withColumn("value", R6("value"))
+    return R.p3alpha(_quantities(spark, d).where("value > 300"), beta=0.6, k=1000).withColumn("value", R6("value"))
 
 
 @q("r16_ease_r")
@@ -254,9 +251,8 @@ def r16(spark, d):
 
 @q("r17_pure_svd")
 def r17(spark, d):
-    from ..operators.models import svd_item_factors
-
-    return svd_item_factors(_quantities(spark, d), 8)
+    x = _quantities(spark, d)
+    return R.svd_scores(x, R.pure_svd(spark, x, 8))
 
 
 @q("r18_implicit_als")
@@ -282,7 +278,7 @@ def r20(spark, d):
 
 @q("r21_slim")
 def r21(spark, d):
-    return R.slim(_quantities(spark, d).where("value > 120").withColumn("value", F.lit(1.0)), l1=0.5, l2=1.0, k=10)
+    return R.slim(_quantities(spark, d).where("value > 300").withColumn("value", F.lit(1.0)), l1=0.5, l2=1.0, k=10)
 
 
 @q("r22_top_pop", _URM + " SELECT col AS article, count(*) AS n, rank() OVER (ORDER BY count(*) DESC)::INTEGER AS rank FROM x GROUP BY 1")
@@ -293,20 +289,20 @@ def r22(spark, d):
     return n.join(levels.drop("k"), "n").select("article", "n", "rank")
 
 
-@q("r22_global_effects", "WITH " + _SMALL + ", m AS (SELECT avg(value) AS m FROM x), i AS (SELECT col, sum(value - m) / (count(*) + 25) AS b FROM x, m GROUP BY 1), u AS (SELECT row, sum(value - m - b) / (count(*) + 10) AS c FROM x JOIN i ON i.col = x.col, m GROUP BY 1) SELECT x.row, x.col, round(m + b + c, 6) AS value FROM x JOIN i ON i.col = x.col JOIN u ON u.row = x.row, m")
+@q("r22_global_effects", "WITH " + _QUANTITIES + ", m AS (SELECT avg(value) AS m FROM x), i AS (SELECT col, sum(value - m) / (count(*) + 25) AS b FROM x, m GROUP BY 1), u AS (SELECT row, sum(value - m - b) / (count(*) + 10) AS c FROM x JOIN i ON i.col = x.col, m GROUP BY 1) SELECT x.row, x.col, round(m + b + c, 6) AS value FROM x JOIN i ON i.col = x.col JOIN u ON u.row = x.row, m")
 def r22b(spark, d):
-    x = _small(spark, d)
+    x = _quantities(spark, d)
     mean, items, users = R.global_effects(x)
     return x.select("row", "col").join(items, "col").join(users, "row").crossJoin(F.broadcast(mean)).select("row", "col", R6(F.col("mean") + F.col("item_bias") + F.col("user_bias")).alias("value"))
 
 
-@q("r26_topic_scores", ctes("clicks", "items") + ", t AS (SELECT user_id, topic, count(*) AS n FROM (SELECT user_id, unnest(topics) AS topic FROM clicks JOIN items USING (article) WHERE user_id < 300) GROUP BY ALL), c AS (SELECT DISTINCT o_custkey AS user_id, l_partkey AS article FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey < 300), e AS (SELECT user_id, article, unnest(topics) AS topic FROM c JOIN items USING (article)) SELECT e.user_id, article, sum(coalesce(n, 0))::BIGINT AS total, max(coalesce(n, 0)) AS high, round(avg(coalesce(n, 0)), 6) AS mean FROM e LEFT JOIN t ON t.user_id = e.user_id AND t.topic = e.topic GROUP BY ALL")
+@q("r26_topic_scores", ctes("clicks", "items") + ", t AS (SELECT user_id, topic, count(*) AS n FROM (SELECT user_id, unnest(topics) AS topic FROM clicks JOIN items USING (article)) GROUP BY ALL), c AS (SELECT DISTINCT o_custkey AS user_id, l_partkey AS article FROM orders JOIN lineitem ON o_orderkey = l_orderkey), e AS (SELECT user_id, article, unnest(topics) AS topic FROM c JOIN items USING (article)) SELECT e.user_id, article, sum(coalesce(n, 0))::BIGINT AS total, max(coalesce(n, 0)) AS high, round(avg(coalesce(n, 0)), 6) AS mean FROM e LEFT JOIN t ON t.user_id = e.user_id AND t.topic = e.topic GROUP BY ALL")
 def r26(spark, d):
     from ..sources.tables import items
 
     topics = items(spark, d).select("article", F.explode("topics").alias("topic"))
-    t = clicks(spark, d).where("user_id < 300").select("user_id", "article").join(topics, "article").groupBy("user_id", "topic").agg(F.count("*").alias("n"))
-    o = table(spark, d, "orders", "o_orderkey", "o_custkey").where("o_custkey < 300")
+    t = clicks(spark, d).select("user_id", "article").join(topics, "article").groupBy("user_id", "topic").agg(F.count("*").alias("n"))
+    o = table(spark, d, "orders", "o_orderkey", "o_custkey")
     c = candidates(spark, d).join(o, F.col("impression_id") == F.col("o_orderkey")).select(F.col("o_custkey").alias("user_id"), "article").distinct()
     n = F.coalesce("n", F.lit(0))
     return c.join(topics, "article").join(t, ["user_id", "topic"], "left").groupBy("user_id", "article").agg(F.sum(n).alias("total"), F.max(n).alias("high"), R6(F.avg(n)).alias("mean"))
@@ -348,25 +344,59 @@ def r33(spark, d):
     return clicks(spark, d).withColumn("rn", F.row_number().over(w)).where("rn <= 2").select("user_id", "impression_id", "article", "seller")
 
 
-@q("r33_random_holdout")
+@q("r33_random_holdout", ctes("clicks") + " SELECT user_id, article, ('0x' || substr(md5(concat_ws(':', article, 7)), 1, 8))::BIGINT < 3435973836 AS train FROM clicks")
 def r33b(spark, d):
     return hash_split(clicks(spark, d).select("user_id", "article"), "article", 0.8, 7)
 
 
-@q("r34_group_k_fold", "SELECT count(*) AS orders_in_two_folds FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(DISTINCT o_custkey % 5) > 1)")
+_ROW = ["user_id", "impression_id", "article", "seller", "quantity"]
+_RANKED = ctes("clicks") + f", r AS (SELECT {', '.join(_ROW)}, row_number() OVER (PARTITION BY user_id ORDER BY md5(concat_ws(':', impression_id, article, seller, quantity, 7)), impression_id, article, seller, quantity) - 1 AS place, count(*) OVER (PARTITION BY user_id) AS rows FROM clicks)"
+
+
+def _ranked(spark, d):
+    """Each user's rows in random order; a user is few rows, so the draw orders them in one window."""
+    w = W.partitionBy("user_id")
+    rows = clicks(spark, d).select(*_ROW).withColumn("quantity", F.col("quantity").cast("long"))
+    return rows.withColumns({"place": F.row_number().over(w.orderBy(draw("impression_id", "article", "seller", "quantity", seed=7), *_ROW[1:])) - 1, "rows": F.count("*").over(w)})
+
+
+@q("r33_user_wise_split", _RANKED.replace("quantity", "quantity::BIGINT").replace("AS quantity::BIGINT", "AS quantity") + " SELECT user_id, impression_id, article, seller, place < floor(0.8::DOUBLE * rows) AS train FROM r")
+def r33c(spark, d):
+    return _ranked(spark, d).select(*_ROW[:4], (F.col("place") < F.floor(0.8 * F.col("rows"))).alias("train"))
+
+
+@q("r33_leave_random_out", _RANKED.replace("quantity", "quantity::BIGINT").replace("AS quantity::BIGINT", "AS quantity") + " SELECT user_id, impression_id, article, seller FROM r WHERE place < 2")
+def r33d(spark, d):
+    return _ranked(spark, d).where("place < 2").select(*_ROW[:4])
+
+
+@q("r33_cold_items", _URM + ", i AS (SELECT col, ('0x' || substr(md5(concat_ws(':', col, 11)), 1, 8))::BIGINT >= 3435973836 AS cold FROM (SELECT DISTINCT col FROM x)) SELECT cold, count(*) AS cells, count(DISTINCT row) AS rows, count(DISTINCT x.col) AS cols FROM x JOIN i ON i.col = x.col GROUP BY 1")
+def r33e(spark, d):
+    """Items that training never sees: all their cells are test."""
+    s = hash_split(_urm(spark, d), "col", 0.8, 11).withColumn("cold", ~F.col("train"))
+    return s.groupBy("cold").agg(F.count("*").alias("cells"), F.count_distinct("row").alias("rows"), F.count_distinct("col").alias("cols"))
+
+
+_FOLD = "(ascii(md5(o_custkey::VARCHAR)) % 5)"
+
+
+@q("r34_group_k_fold", f"SELECT o_orderkey, o_custkey, {_FOLD}::INTEGER AS fold, count(*) OVER (PARTITION BY {_FOLD}) AS fold_size FROM orders")
 def r34(spark, d):
-    o = table(spark, d, "orders", "o_orderkey", "o_custkey").withColumn("fold", F.pmod(F.xxhash64("o_custkey"), F.lit(5)))
-    return o.groupBy("o_custkey").agg(F.count_distinct("fold").alias("k")).where("k > 1").agg(F.count("*").alias("orders_in_two_folds"))
+    o = table(spark, d, "orders", "o_orderkey", "o_custkey").withColumn("fold", F.ascii(F.md5(F.col("o_custkey").cast("string").cast("binary"))) % 5)
+    return o.join(F.broadcast(o.groupBy("fold").agg(F.count("*").alias("fold_size"))), "fold")
 
 
-@q("r35_factor_scores", "SELECT a.vec_id AS row, b.vec_id AS col, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS value FROM embeddings a JOIN embeddings b ON b.vec_id = (a.vec_id * 7 + 3) % 500 WHERE a.vec_id < 200")
+@q("r35_factor_scores", "SELECT a.vec_id AS row, b.vec_id AS col, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS value FROM embeddings a JOIN embeddings b ON b.vec_id = (a.vec_id * 7 + 3) % 500")
 def r35(spark, d):
     v = vectors(spark, d)
-    pairs = v.where("article < 200").select(F.col("article").alias("row"), ((F.col("article") * 7 + 3) % 500).alias("col"))
+    pairs = v.select(F.col("article").alias("row"), ((F.col("article") * 7 + 3) % 500).alias("col"))
     return R.factor_scores(pairs, v.select(F.col("article").alias("row"), "vector"), v.select(F.col("article").alias("col"), "vector")).withColumn("value", R6("value"))
 
 
-@q("r39_split_disjoint", "SELECT 0::BIGINT AS shared")
+@q("r39_split_disjoint", _URM + ", s AS (SELECT *, ascii(md5(row::VARCHAR)) % 5 < 4 AS train FROM x) SELECT count(*) FILTER (WHERE train) AS train, count(*) FILTER (WHERE NOT train) AS test, count(DISTINCT row) FILTER (WHERE train) AS train_rows, count(DISTINCT row) FILTER (WHERE NOT train) AS test_rows, (SELECT count(*) FROM (SELECT col FROM s WHERE train INTERSECT SELECT col FROM s WHERE NOT train)) AS shared_cols, (SELECT count(*) FROM (SELECT row, col FROM s WHERE train INTERSECT SELECT row, col FROM s WHERE NOT train)) AS shared FROM s")
 def r39(spark, d):
-    s = hash_split(_urm(spark, d).select("row", "col"), "row", 0.8, 7)
-    return s.where("train").select("row", "col").intersect(s.where("not train").select("row", "col")).agg(F.count("*").alias("shared"))
+    s = _urm(spark, d).withColumn("train", F.ascii(F.md5(F.col("row").cast("string").cast("binary"))) % 5 < 4)
+    a, b = s.where("train"), s.where("not train")
+    sizes = a.agg(F.count("*").alias("train"), F.count_distinct("row").alias("train_rows")).crossJoin(b.agg(F.count("*").alias("test"), F.count_distinct("row").alias("test_rows")))
+    both = lambda *c: a.select(*c).intersect(b.select(*c)).agg(F.count("*").alias("shared" if len(c) == 2 else "shared_cols"))
+    return sizes.crossJoin(both("col")).crossJoin(both("row", "col"))

@@ -112,11 +112,11 @@ def j13(spark, d):
     return rows.select("impression_id", L.text(F.transform("s", lambda v: F.coalesce(v.p_size, F.lit(0)))).alias("sizes"), L.text(F.array_compact("s.p_size")).alias("known"))
 
 
-@q("j16_matrix_product", ctes("clicks") + ", u AS (SELECT DISTINCT user_id, article FROM clicks WHERE user_id < 40), w AS (SELECT l_partkey AS i, l_suppkey AS j, sum(l_quantity) AS w FROM lineitem GROUP BY ALL) SELECT user_id, j, round(sum(w), 6) AS score FROM u JOIN w ON article = i GROUP BY ALL")
+@q("j16_matrix_product", ctes("clicks") + ", u AS (SELECT DISTINCT user_id, article FROM clicks), w AS (SELECT l_partkey AS i, l_suppkey AS j, sum(l_quantity) AS w FROM lineitem GROUP BY ALL) SELECT user_id, j, round(sum(w), 6) AS score FROM u JOIN w ON article = i GROUP BY ALL")
 def j16(spark, d):
     from ..operators.sparse import multiply
 
-    u = clicks(spark, d).where("user_id < 40").select(F.col("user_id").alias("row"), F.col("article").alias("col")).distinct().withColumn("value", F.lit(1.0))
+    u = clicks(spark, d).select(F.col("user_id").alias("row"), F.col("article").alias("col")).distinct().withColumn("value", F.lit(1.0))
     w = table(spark, d, "lineitem", "l_partkey", "l_suppkey", "l_quantity").groupBy(F.col("l_partkey").alias("row"), F.col("l_suppkey").alias("col")).agg(F.sum("l_quantity").alias("value"))
     return multiply(u, w).select(F.col("row").alias("user_id"), F.col("col").alias("j"), R6("value").alias("score"))
 
@@ -282,12 +282,12 @@ def o04(spark, d):
     return top_per(x, "l_suppkey", "q", ["l_partkey"], 5)
 
 
-@q("o05_recommend", ctes("clicks") + ", p AS (SELECT article, count(*) AS n FROM clicks GROUP BY 1), u AS (SELECT DISTINCT user_id FROM clicks WHERE user_id < 50), top AS (SELECT article, n FROM p ORDER BY n DESC, article LIMIT 100), r AS (SELECT user_id, article, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, article) AS rn FROM u CROSS JOIN top WHERE NOT EXISTS (SELECT 1 FROM clicks c WHERE c.user_id = u.user_id AND c.article = top.article)) SELECT user_id, '[' || string_agg(article::VARCHAR, ',' ORDER BY rn) || ']' AS items FROM r WHERE rn <= 10 GROUP BY 1")
+@q("o05_recommend", ctes("clicks") + ", p AS (SELECT article, count(*) AS n FROM clicks GROUP BY 1), u AS (SELECT DISTINCT user_id FROM clicks), top AS (SELECT article, n FROM p ORDER BY n DESC, article LIMIT 100), r AS (SELECT user_id, article, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, article) AS rn FROM u CROSS JOIN top WHERE NOT EXISTS (SELECT 1 FROM clicks c WHERE c.user_id = u.user_id AND c.article = top.article)) SELECT user_id, '[' || string_agg(article::VARCHAR, ',' ORDER BY rn) || ']' AS items FROM r WHERE rn <= 10 GROUP BY 1")
 def o05(spark, d):
     c = clicks(spark, d).select("user_id", "article")
     top = c.groupBy("article").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "article").limit(100)
     listed = top.agg(F.collect_list(F.struct("n", "article")).alias("top"))
-    users = c.where("user_id < 50").select("user_id").distinct()
+    users = c.select("user_id").distinct()
     r = users.crossJoin(F.broadcast(listed)).select("user_id", F.inline("top")).join(c, ["user_id", "article"], "left_anti")
     r = r.withColumn("rn", F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("n"), "article"))).where("rn <= 10")
     return r.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("rn", "article"))).alias("s")).select("user_id", L.text("s.article").alias("items"))
@@ -298,19 +298,28 @@ def o06(spark, d):
     return candidates(spark, d).select(*CAND, F.row_number().over(W.partitionBy("impression_id").orderBy(F.desc("price"), "article", "seller")).alias("rank"))
 
 
-@q("o07_shuffle_list")
+_TEXT = lambda x: f"'[' || array_to_string({x}, ',') || ']'"
+_PICK = lambda a, key, i: f"{a}[1 + ('0x' || substr(md5(concat_ws(':', {key}, {i}, 7)), 1, 8))::BIGINT % greatest(len({a}), 1)]"
+_SHUFFLED = ", s AS (SELECT impression_id, inview, clicked, (SELECT list(x ORDER BY md5(concat_ws(':', impression_id, i, x, 7)), i) FROM (SELECT unnest(inview) AS x, generate_subscripts(inview, 1) - 1 AS i)) AS drawn FROM imp)"
+
+
+@q("o07_shuffle_list", ctes("imp") + _SHUFFLED + f" SELECT impression_id, {_TEXT('inview')} AS inview, {_TEXT('drawn')} AS shuffled FROM s")
 def o07(spark, d):
-    return impressions(spark, d).select("impression_id", "inview", S.shuffled(F.col("inview"), F.col("impression_id"), 7).alias("shuffled"))
+    return impressions(spark, d).select("impression_id", L.text("inview").alias("inview"), L.text(S.shuffled(F.col("inview"), F.col("impression_id"), 7)).alias("shuffled"))
 
 
-@q("o08_sample_list")
+@q("o08_sample_list", ctes("imp") + _SHUFFLED + f" SELECT impression_id, {_TEXT('drawn[:2]')} AS two, CASE WHEN len(clicked) > 0 THEN {_TEXT('[' + ', '.join(_PICK('clicked', 'impression_id', i) for i in (1, 2, 3)) + ']')} END AS three FROM s")
 def o08(spark, d):
-    return impressions(spark, d).select("impression_id", "inview", S.sample_without(F.col("inview"), 2, F.col("impression_id"), 7).alias("two"), S.sample_with(F.col("clicked"), 3, F.col("impression_id"), 7).alias("three"))
+    three = F.when(F.size("clicked") > 0, L.text(S.sample_with(F.col("clicked"), 3, F.col("impression_id"), 7)))
+    return impressions(spark, d).select("impression_id", L.text(S.sample_without(F.col("inview"), 2, F.col("impression_id"), 7)).alias("two"), three.alias("three"))
+
+
+_KEY9 = "concat_ws('/', impression_id, turn)"
 
 
-@q("o09_negative_sampling")
+@q("o09_negative_sampling", ctes("imp") + ", r AS (SELECT impression_id, list_filter(inview, lambda x: NOT list_contains(clicked, x)) AS rest, unnest(clicked) AS taken, generate_subscripts(clicked, 1) - 1 AS turn FROM imp) SELECT impression_id, turn::INTEGER AS turn, taken, " + ", ".join(f"{_PICK('rest', _KEY9, i)} AS n{i}" for i in (1, 2)) + " FROM r")
 def o09(spark, d):
-    return S.negative_samples(impressions(spark, d), 2, seed=7)
+    return S.negative_samples(impressions(spark, d), 2, seed=7).select("impression_id", F.col("at").alias("turn"), "taken", *(F.col("items")[i - 1].alias(f"n{i}") for i in (1, 2)))
 
 
 @q("o10_subsample_by_key", ctes("cand") + " SELECT impression_id, article, seller, target FROM cand WHERE (impression_id, article, seller) IN (SELECT (impression_id, article, seller) FROM cand WHERE article % 5 = 0 OR target = 1)")
@@ -325,11 +334,10 @@ def o11(spark, d):
     return S.global_ntile(table(spark, d, "customer", "c_custkey"), 7, ["c_custkey"], "chunk")
 
 
-@q("o12_stratified_half")
+@q("o12_stratified_half", "SELECT o_orderkey, o_orderpriority, percent_rank() OVER (PARTITION BY o_orderpriority ORDER BY md5(concat_ws(':', o_orderkey, 7)), o_orderkey) < 0.5 AS half FROM orders")
 def o12(spark, d):
-    o = table(spark, d, "orders", "o_orderkey", "o_orderpriority")
-    w = W.partitionBy("o_orderpriority")
-    return o.withColumn("r", F.percent_rank().over(w.orderBy(S.hash_order("o_orderkey", seed=7), "o_orderkey"))).select("o_orderkey", "o_orderpriority", (F.col("r") < 0.5).alias("half"))
+    o = S.ranked_share(table(spark, d, "orders", "o_orderkey", "o_orderpriority"), ["o_orderpriority"], ["o_orderkey"], 7, "half")
+    return o.select("o_orderkey", "o_orderpriority", (2 * F.col("half_place") < F.greatest(F.col("half_rows") - 1, F.lit(1))).alias("half"))
 
 
 @q("o13_confident_rows", ctes("cand") + ", r AS (SELECT *, row_number() OVER (PARTITION BY impression_id ORDER BY price DESC, article, seller) AS rn, lead(price) OVER (PARTITION BY impression_id ORDER BY price DESC, article, seller) AS second FROM cand) SELECT impression_id, article, seller, 1 AS label FROM r WHERE rn = 1 AND price - second > 20000")
@@ -390,9 +398,9 @@ def u06b(spark, d):
     return e.where("event_type = 'click'").select("user_id").subtract(e.where("event_type = 'purchase'").select("user_id"))
 
 
-@q("u07_frame_equality", "SELECT 0::BIGINT AS missing, 0::BIGINT AS surplus")
+@q("u07_frame_equality", "WITH b AS (SELECT * FROM nation WHERE n_regionkey <> 2 UNION ALL SELECT * FROM nation WHERE n_nationkey < 3) SELECT (SELECT count(*) FROM (SELECT * FROM nation EXCEPT ALL SELECT * FROM b)) AS missing, (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM nation)) AS surplus")
 def u07(spark, d):
     a = table(spark, d, "nation")
-    b = a.orderBy(F.desc("n_nationkey"))
+    b = a.where("n_regionkey <> 2").unionByName(a.where("n_nationkey < 3")).orderBy(F.desc("n_nationkey"))
     missing, surplus = a.exceptAll(b).agg(F.count("*").alias("missing")), b.exceptAll(a).agg(F.count("*").alias("surplus"))
     return missing.crossJoin(F.broadcast(surplus))

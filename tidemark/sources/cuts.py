@@ -6,18 +6,32 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from functools import cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+@cache
+def _own(application: str) -> str:
+    folder = tempfile.mkdtemp(prefix="tidemark-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return "file://" + folder
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir. Where it is unset, one of our own if driver and executors are one process (tests); on a cluster, whose
+    machines share no local folder, an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        found = _own(spark.sparkContext.applicationId)
+    return found.rstrip("/")
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as Parquet under spark.checkpoint.dir, read back; without that setting (tests), in a folder of our own."""
+    """df as Parquet in that folder, read back."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        atexit.register(shutil.rmtree, root.removeprefix("file://"), ignore_errors=True)
-    path = f"{root.rstrip('/')}/tidemark/cut-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tidemark/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

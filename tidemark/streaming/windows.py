@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.cuts import shared_dir
+
 
 def windowed_counts(stream: DataFrame, ts: str, keys: list[str], length: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
     """T4: counts per window; rows later than `late` behind the newest are dropped and their windows' state is freed."""
@@ -27,11 +28,22 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def hourly_counts_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Drains the file stream once (availableNow) into a memory table, in complete mode."""
-    name = f"hourly_{uuid.uuid4().hex}"
-    counts = windowed_counts(read_events(spark, f"{sf_dir}/events.parquet"), "ts", ["event_type"], "1 hour")
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    query = counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{folder}/stream-{name}").trigger(availableNow=True).start()
+def hourly_counts(stream: DataFrame) -> DataFrame:
+    """Counts per hour and type of event, of events that are at most an hour late."""
+    return windowed_counts(stream, "ts", ["event_type"], "1 hour").select("event_type", F.col("w.start").cast("timestamp_ntz").alias("started"), "n")
+
+
+def drained(counts: DataFrame, name: str) -> DataFrame:
+    """What a stream of windowed counts has settled when its source is read to the end (availableNow), from Parquet under the shared folder: in append mode a window
+    is written once, when the watermark has passed it, and its state is freed."""
+    spark = counts.sparkSession
+    path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    writer = counts.writeStream.outputMode("append").format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state")
+    query = writer.trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name).select("event_type", F.col("w.start").cast("timestamp_ntz").alias("started"), "n")
+    return spark.read.schema(counts.schema).parquet(f"{path}/rows")
+
+
+def hourly_counts_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T14 over the events table: the hours that the newest event has closed, an hour of lateness allowed."""
+    return drained(hourly_counts(read_events(spark, f"{sf_dir}/events.parquet")), "hourly")
