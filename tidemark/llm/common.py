@@ -11,6 +11,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from functools import cache
 from pathlib import Path
 
 import numpy as np
@@ -24,13 +25,21 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+@cache
+def _own_dir(application: str) -> str:
+    folder = tempfile.mkdtemp(prefix="tidemark-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return "file://" + folder
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from the session; a temporary one of our own where it is unset (tests)."""
+    """The folder all executors share, from the session. Where it is unset, one of our own if driver and executors are one process (tests); on a
+    cluster, whose machines share no local folder, an error."""
     found = spark.conf.get(CHECKPOINT, None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set(CHECKPOINT, found)
-        atexit.register(shutil.rmtree, found.removeprefix("file://"), ignore_errors=True)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{CHECKPOINT} must name a folder that all executors share")
+        found = _own_dir(spark.sparkContext.applicationId)
     return found.rstrip("/")
 
 
@@ -98,6 +107,14 @@ def worker_cache(key, build):
     return _slot[1]
 
 
+def reuse_memory(mb: int = 32) -> None:
+    """For workers that ask for and give back buffers of some MB all the time: up to so much freed memory stays in the process, so that the
+    system does not have to clear it anew for each buffer. The options are glibc's thresholds for trimming and for mapping."""
+    with contextlib.suppress(OSError, AttributeError):
+        for option in (-1, -3):
+            ctypes.CDLL(None).mallopt(option, mb << 20)
+
+
 def no_cache() -> None:
     """For operators that keep nothing: what another one left in this worker goes."""
     worker_cache("none", lambda: None)

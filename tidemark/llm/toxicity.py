@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField
 
-from .common import map_rows, slices, worker_cache
+from .common import map_rows, reuse_memory, slices, worker_cache
 
 #: The classifier is fitted on at most so many labelled rows of a class, in the order of their ids' hash. Of a fitted text with more bytes than
 #: FIT_BYTES, pieces of FIT_PIECE bytes at even distances over all of it are read; texts that are scored are read whole.
@@ -33,7 +33,7 @@ LEVEL, SEGMENT, PART = 3, 14, 8
 SAVED, NEAR, MEANS = tuple(range(1, 9)), 5, (1, 1.6, 2.2, 2.8, 3.4, 4.2, 5)
 FOLDS = 5
 _GAP = re.compile(r"[\W_]+")
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 
 
 def plain(text: str | None) -> bytes:
@@ -142,6 +142,7 @@ class Model:
 
 class Scorer:
     def __init__(self, model: Model):
+        reuse_memory()
         self.model, self.toxic, self.ordinary = model, compressor(model.toxic), compressor(model.ordinary)
 
     def saved(self, texts: list[bytes]) -> list[np.ndarray]:
