@@ -110,6 +110,16 @@ def test_embeddings_equal_brute_force(spark, monkeypatch, block):
     assert got[n + 7]["component_id"] == n + 6
 
 
+def test_repeated_and_clashing_vectors(spark):
+    a, b, c = [1.0, 0.0, 0.0], [1.0, 0.01, 0.0], [0.0, 0.0, 1.0]
+    rows = [(i, v, lab, 1, 1) for i, v, lab in [(1, a, 0), (1, a, 0), (2, a, 0), (3, b, 0), (4, c, 0), (4, c, 0), (5, a, 0), (5, c, 0), (6, a, 1), (5, a, 1), (None, a, 0), (9, None, 0), (9, None, 0)]]
+    # 1, 2, 5 hold a; 3 is near them; 4 and 5 hold c; under label 1 both 6 and 5 hold a.
+    want = [(1, 3, 1), (1, 3, 1), (2, 3, 1), (3, 3, 1), (4, 1, 1), (4, 1, 1), (5, 1, 1), (5, 1, 1), (5, 3, 1), (6, 1, 1), (9, 0, 9), (9, 0, 9), (None, 0, None)]
+    for df in (vectors(spark, rows), vectors(spark, rows).repartition(5)):
+        got = [(r["vec_id"], r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(df).collect()]
+        assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_embeddings_empty(spark):
     assert embeddings.near_duplicates(vectors(spark, [])).count() == 0
 

@@ -55,21 +55,31 @@ def polytope_codes(vectors: np.ndarray, tables: int = TABLES, hashes: int = HASH
     return out
 
 
+def _mark(v) -> tuple[int, int] | None:
+    """The fingerprint of a vector that is fit to link."""
+    if not v or any(x is None for x in v):
+        return None
+    x = np.array(v, np.float64) + 0.0
+    if not (np.isfinite(x).all() and x.any()):
+        return None
+    mark = xxhash.xxh3_128_intdigest(x.tobytes())
+    return (mark >> 64) - (1 << 63), (mark & (1 << 64) - 1) - (1 << 63)
+
+
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Vectors fit to link, with a fingerprint of their numbers."""
+    """Vectors fit to link, with their fingerprints."""
     for batch in batches:
-        keep, one, two = [], [], []
-        for i, v in enumerate(batch.column("vector").to_pylist()):
-            if not v or any(x is None for x in v):
-                continue
-            x = np.array(v, np.float64) + 0.0
-            if np.isfinite(x).all() and x.any():
-                mark = xxhash.xxh3_128_intdigest(x.tobytes())
-                keep.append(i)
-                one.append((mark >> 64) - (1 << 63))
-                two.append((mark & (1 << 64) - 1) - (1 << 63))
+        marks = [_mark(v) for v in batch.column("vector").to_pylist()]
+        keep = [i for i, m in enumerate(marks) if m]
         kept = batch.take(pa.array(keep, pa.int64()))
-        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(one, pa.int64()), pa.array(two, pa.int64())], names=[*batch.schema.names, "fp1", "fp2"])
+        yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array([marks[i][k] for i in keep], pa.int64()) for k in (0, 1))], names=[*batch.schema.names, "fp1", "fp2"])
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every row, with the fingerprint in place of the vector; null where it is not fit to link."""
+    for batch in batches:
+        marks = [_mark(v) or (None, None) for v in batch.column("vector").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("vec"), batch.column("label"), *(pa.array([m[k] for m in marks], pa.int64()) for k in (0, 1))], names=["vec", "label", "fp1", "fp2"])
 
 
 def _by_width(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -84,12 +94,12 @@ def _buckets(batches: Iterator[pa.RecordBatch], tables: int, hashes: int) -> Ite
     for batch in batches:
         if not batch.num_rows:
             continue
-        ids, label = batch.column("vec").to_numpy(), batch.column("label").to_numpy()
+        ids, label = batch.column("head").to_numpy(), batch.column("label").to_numpy()
         for rows, x in _by_width(batch):
             codes = polytope_codes(x / np.abs(x).max(1, keepdims=True), tables, hashes)
             n, _, probes = codes.shape
             column = lambda v: pa.array(np.broadcast_to(v, codes.shape).reshape(-1))
-            yield pa.RecordBatch.from_arrays([column(ids[rows][:, None, None]), column(label[rows][:, None, None]), column(np.int64(x.shape[1])), column(np.arange(tables)[None, :, None]), pa.array(codes.reshape(-1)), column(np.arange(probes) == 0)], names=["vec", "label", "width", "t", "code", "home"])
+            yield pa.RecordBatch.from_arrays([column(ids[rows][:, None, None]), column(label[rows][:, None, None]), column(np.int64(x.shape[1])), column(np.arange(tables)[None, :, None]), pa.array(codes.reshape(-1)), column(np.arange(probes) == 0)], names=["head", "label", "width", "t", "code", "home"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -119,7 +129,7 @@ def _products(batches: Iterator[pa.RecordBatch], least: float, tables: int, hash
     for group in _groups(batches, ["label", "width", "t", "code", "low", "high"]):
         if group.num_rows < 2:
             continue
-        ids, own, block, home = (group.column(c).to_numpy() for c in ("vec", "copies", "block", "home"))
+        ids, vec, own, block, home = (group.column(c).to_numpy() for c in ("head", "vec", "copies", "block", "home"))
         t, code, low, high = (group.column(c)[0].as_py() for c in ("t", "code", "low", "high"))
         x = np.array(group.column("vector").to_pylist(), np.float64)
         # The longest entry is scaled to 1 first, so no square overflows; cosines do not change.
@@ -136,7 +146,7 @@ def _products(batches: Iterator[pa.RecordBatch], least: float, tables: int, hash
         if not near.any():
             continue
         rows = np.flatnonzero(near.any(1))
-        near, ids, own, x = near[np.ix_(rows, rows)], ids[rows], own[rows], x[rows]
+        near, ids, vec, own, x = near[np.ix_(rows, rows)], ids[rows], vec[rows], own[rows], x[rows]
         codes = polytope_codes(x, tables, hashes)
         seen = np.zeros_like(near)
         for s in range(t + 1):
@@ -155,7 +165,7 @@ def _products(batches: Iterator[pa.RecordBatch], least: float, tables: int, hash
         near &= ~seen
         if not near.any():
             continue
-        top = ids.copy()
+        top = vec.copy()
         while True:
             new = np.minimum(top, np.where(near, top[None, :], np.iinfo(np.int64).max).min(1))
             if (new == top).all():
@@ -163,17 +173,20 @@ def _products(batches: Iterator[pa.RecordBatch], least: float, tables: int, hash
             top = new
         links = near @ own
         keep = np.flatnonzero(links)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(top[keep]), pa.array(links[keep])], names=["vec", "top", "links"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(vec[keep]), pa.array(top[keep]), pa.array(links[keep])], names=["head", "vec", "top", "links"])
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.98, tables: int = TABLES, hashes: int = HASHES, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) a row: links join vectors of one label whose cosine, in double precision, is `least` or more.
 
     Null, zero or empty vectors, those with null or non-finite entries, and null labels link with nothing. Vectors of different
-    lengths do not link. Equal vectors meet by fingerprint and count as copies of one. Each vector goes to its bucket in every
+    lengths do not link. Rows that repeat id, label and vector are one vector and get equal results. Vectors or labels that clash under one id are
+    vectors of their own, each with its own n_links, and share the id's component; rows of a null id have null component and kept.
+
+    Equal vectors meet by fingerprint and count as copies of one head. Each head goes to its bucket in every
     table and probes one more a hash; buckets with one vector end there; the rest are multiplied in pairs of blocks, so a bucket with
-    a third of all vectors is many tasks. A pair counts where it first meets, so links need no pair list. Ids are taken to be unique; rows of
-    a null id have null component and kept.
+    a third of all vectors is many tasks. A pair counts where it first meets, so links need no pair list. Every pair of a bucket is
+    multiplied: n_links counts all of them, so one chosen vector of the bucket cannot stand for the others.
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
@@ -181,24 +194,26 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, tables: int = TABLE
     good = base.where("vec is not null and label is not null and vector is not null").mapInArrow(_clean, "vec long, label long, vector array<double>, fp1 long, fp2 long")
     good = materialize(good, "vectors")
     key = ["label", "fp1", "fp2"]
-    reps = good.groupBy(*key).agg(F.min("vec").alias("head"), F.count("*").alias("copies"))
-    heads = materialize(good.join(reps, key).where("vec = head").dropDuplicates(["vec"]).select("vec", "label", "vector", "copies"), "heads")
+    ids = good.select("vec", *key).distinct()
+    reps = ids.groupBy(*key).agg(F.min("vec").alias("vec"), F.count("*").alias("copies"))
+    one = good.groupBy("vec", *key).agg(F.first("vector").alias("vector"))
+    # Numbered once, as they are written.
+    heads = materialize(one.join(reps, [*key, "vec"]).select(F.monotonically_increasing_id().alias("head"), "vec", *key, "vector", "copies"), "heads")
     place = ["label", "width", "t", "code"]
-    rows = heads.select("vec", "label", "vector").mapInArrow(partial(_buckets, tables=tables, hashes=hashes), "vec long, label long, width long, t long, code long, home boolean")
+    rows = heads.select("head", "label", "vector").mapInArrow(partial(_buckets, tables=tables, hashes=hashes), "head long, label long, width long, t long, code long, home boolean")
     rows = materialize(rows, "buckets")
     full = rows.groupBy(*place).agg(F.count("*").alias("n"), F.max("home").alias("any")).where("n > 1 and any")
     blocks = F.ceil(F.col("n") / BLOCK)
-    dealt = rows.join(full.select(*place, blocks.alias("blocks")), place).withColumn("block", F.pmod(F.xxhash64("vec"), F.col("blocks")))
+    dealt = rows.join(full.select(*place, blocks.alias("blocks")), place).withColumn("block", F.pmod(F.xxhash64("head"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select(*place, "vec", "home", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    dealt = dealt.join(heads.select("vec", "vector", "copies"), "vec").repartition(*place, "low", "high").sortWithinPartitions(*place, "low", "high")
-    found = materialize(dealt.mapInArrow(partial(_products, least=least, tables=tables, hashes=hashes), "vec long, top long, links long"), "links")
+    dealt = dealt.select(*place, "head", "home", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    dealt = dealt.join(heads.select("head", "vec", "vector", "copies"), "head").repartition(*place, "low", "high").sortWithinPartitions(*place, "low", "high")
+    found = materialize(dealt.mapInArrow(partial(_products, least=least, tables=tables, hashes=hashes), "head long, vec long, top long, links long"), "links")
     discard(rows)
-    links = found.groupBy("vec").agg(F.sum("links").alias("links"))
-    part = components(found.select(F.col("vec").alias("u"), F.col("top").alias("v")))
-    heads = heads.select(F.col("vec").alias("head"), "copies").join(links.withColumnRenamed("vec", "head"), "head", "left").join(part.withColumnRenamed("node", "head"), "head", "left")
-    heads = heads.select("head", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "head").alias("component"))
-    each = good.select("vec", *key).join(reps.select(*key, "head"), key).join(heads, "head").select("vec", "n_links", "component")
-    out = base.select("vec").join(each, "vec", "left")
+    part = components(ids.join(reps.select(*key, F.col("vec").alias("top")), key).select(F.col("vec").alias("u"), F.col("top").alias("v")).unionByName(found.select(F.col("vec").alias("u"), F.col("top").alias("v"))))
+    links = found.groupBy("head").agg(F.sum("links").alias("links"))
+    counts = heads.select("head", *key, "copies").join(links, "head", "left").select(*key, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    each = ids.join(counts, key)
+    out = base.mapInArrow(_marked, "vec long, label long, fp1 long, fp2 long").join(each, ["vec", *key], "left").join(part.withColumnRenamed("node", "vec"), "vec", "left")
     component = F.when(F.col("vec").isNotNull(), F.coalesce("component", "vec"))
     return out.select(F.col("vec").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec") == component).alias("kept"))
