@@ -56,7 +56,7 @@ def corpus(seed):
 
 @pytest.mark.parametrize("hot,block,piece", [(20_000, 1 << 21, 1 << 19), (2, 3000, 700)])
 def test_equals_brute_force(docs, monkeypatch, hot, block, piece):
-    monkeypatch.setattr(suffixes, "HOT", hot)
+    monkeypatch.setattr(suffixes, "PER_BLOCK", hot)
     monkeypatch.setattr(suffixes, "BLOCK", block)
     rows = corpus(hot)
     monkeypatch.setattr(suffixes, "_PIECE", piece)

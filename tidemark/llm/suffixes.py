@@ -22,8 +22,8 @@ from .shingles import _BASE, _BYTE, mix
 
 #: Bytes of a repeated string, and of the anchor within it.
 LENGTH, ANCHOR = 100, 32
-#: Bytes of contexts in one suffix array; contexts of one anchor from which its windows are dealt out one by one.
-BLOCK, HOT = 1 << 18, 20_000
+#: Bytes of contexts in one suffix array, and contexts of one anchor in one block; an anchor with more has several, which are merged after.
+BLOCK, PER_BLOCK = 1 << 18, 2000
 _LOW = (1 << 24) - 1
 _PIECE = 1 << 17
 
@@ -153,8 +153,9 @@ def _pair_names(padded: np.ndarray, a: np.ndarray, b: np.ndarray, top: int) -> t
     return name[: len(a)], name[len(a) :]
 
 
-def repeats(contexts: list[bytes], docs: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> Iterator[tuple[int, int, int]]:
-    """(context, first window, windows) of each run of windows whose bytes also begin earlier, by (document, place).
+def repeats(contexts: list[bytes], docs: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[list[tuple[int, int, int]], Iterator[tuple[int, int]]]:
+    """(context, first window, windows) of each run of windows whose bytes also begin earlier, by (document, place); and (context, window) of
+    the first of each set of equal windows.
 
     Contexts are joined with a separator between, their suffixes sorted, and neighbours compared over `length` bytes.
     """
@@ -184,54 +185,47 @@ def repeats(contexts: list[bytes], docs: np.ndarray, starts: np.ndarray, length:
     marked = np.zeros(n + 1, bool)
     marked[order[rank != first[group]]] = True
     edge = np.flatnonzero(np.diff(np.concatenate(([False], marked)).view(np.int8)))
-    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-        yield int(owner[a]), int(offset[a]), b - a
+    runs = [(int(owner[a]), int(offset[a]), b - a) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
+    heads = order[rank == first[group]]
+    return runs, zip(owner[heads].tolist(), offset[heads].tolist(), strict=True)
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """The bytes of the runs that were asked for, cut from their documents."""
     for batch in slices(batches, "text", _PIECE):
-        out = [], [], [], [], []
+        out = [], [], [], [], [], []
         for doc, text, asked in zip(batch.column("doc").to_pylist(), texts(batch, "text"), batch.column("asked").to_pylist(), strict=True):
             for a in asked:
-                for column, value in zip(out, (a["anchor"], a["hot"], doc, a["start"], text[a["start"] : a["start"] + a["n"] - 1 + length]), strict=True):
+                for column, value in zip(out, (a["anchor"], a["block"], a["blocks"] > 1, doc, a["start"], text[a["start"] : a["start"] + a["n"] - 1 + length]), strict=True):
                     column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["anchor", "hot", "doc", "start", "context"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["anchor", "block", "several", "doc", "start", "context"])
 
 
 def _sorted_blocks(batches: Iterator[pa.RecordBatch], length: int, block: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor: suffix arrays over whole anchors, several in a block."""
+    """Rows sorted by anchor and block: suffix arrays over whole blocks, several in one. A row for each run of repeated windows, without `window`; and of anchors with several
+    blocks one for the first of each set of equal windows, with a hash of its bytes."""
     rows: list[tuple] = []
     size = 0
 
     def flush():
-        docs, starts = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
-        found = list(repeats([r[3] for r in rows], docs, starts, length))
-        which = np.array([f[0] for f in found], np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(docs[which]), pa.array((starts[which] + np.array([f[1] for f in found], np.int64)).astype(np.int32)), pa.array([f[2] for f in found], pa.int32())], names=["doc", "start", "n"])
+        docs, starts = [r[3] for r in rows], [r[4] for r in rows]
+        found, heads = repeats([r[5] for r in rows], np.array(docs, np.int64), np.array(starts, np.int64), length)
+        out = [(docs[c], starts[c] + at, n, None) for c, at, n in found]
+        out += [(docs[c], starts[c] + at, 1, xxhash.xxh3_128_digest(rows[c][5][at : at + length])) for c, at in heads if rows[c][2]]
+        kinds = {"doc": pa.int64(), "start": pa.int32(), "n": pa.int32(), "window": pa.binary()}
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, kinds.values(), strict=True)], names=list(kinds))
 
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc", "start", "context")), strict=True):
-            if size >= block and row[0] != rows[-1][0]:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "block", "several", "doc", "start", "context")), strict=True):
+            if size >= block and row[:2] != rows[-1][:2]:
                 yield flush()
                 rows, size = [], 0
             rows.append(row)
-            size += len(row[3])
+            size += len(row[5])
     if rows:
         yield flush()
 
 
-def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "context", 1 << 17):
-        out = [], [], []
-        for doc, start, context in zip(*(batch.column(c).to_pylist() for c in ("doc", "start", "context")), strict=True):
-            n = len(context) - length + 1
-            out[0].extend([xxhash.xxh3_128_digest(context[i : i + length]) for i in range(n)])
-            out[1].extend([doc] * n)
-            out[2].extend(range(start, start + n))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.int64(), pa.int32()), strict=True)], names=["window", "doc", "start"])
-
-
 def _digests(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
     kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
@@ -268,7 +262,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     2. Runs with equal bytes: all windows of all but the first are repeats.
     3. Where an anchor has runs of different bytes, the first of each goes to a suffix array with the others, made by the
        difference-cover algorithm, and neighbours in it that share `length` bytes are repeats, but for the first by place.
-       Anchors with HOT such runs or more are dealt out by the window's bytes instead, combined before the shuffle.
+       PER_BLOCK such runs of one anchor are a block; where an anchor has several, the first windows of each block are merged by their bytes.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -285,17 +279,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     variants = first.groupBy("anchor").agg(F.count("*").alias("variants"))
     first = materialize(first.join(variants, "anchor").select(*key, "first", "variants"), "first")
     later = runs.join(first.select(*key, "first"), key).where("doc <> first.doc or start <> first.start").select("doc", "start", "n")
-    asked = first.where("variants > 1").groupBy(F.col("first.doc").alias("doc")).agg(F.collect_list(F.struct("anchor", (F.col("variants") >= HOT).alias("hot"), F.col("first.start").alias("start"), F.col("first.n").alias("n"))).alias("asked"))
+    blocks = F.ceil(F.col("variants") / PER_BLOCK)
+    one = F.struct("anchor", F.pmod(F.xxhash64("first.doc", "first.start"), blocks).alias("block"), blocks.alias("blocks"), F.col("first.start").alias("start"), F.col("first.n").alias("n"))
+    asked = first.where("variants > 1").groupBy(F.col("first.doc").alias("doc")).agg(F.collect_list(one).alias("asked"))
     contexts = known.join(asked, "doc")
-    contexts = materialize(contexts.mapInArrow(partial(_contexts, length=length), "anchor long, hot boolean, doc long, start int, context binary"), "contexts")
-    cold = contexts.where("not hot").drop("hot").repartition("anchor").sortWithinPartitions("anchor")
-    marks = later.unionByName(cold.mapInArrow(partial(_sorted_blocks, length=length, block=BLOCK), "doc long, start int, n int"))
-    hot, spent = contexts.where("hot"), [runs, first, contexts]
-    if not hot.isEmpty():
-        windows = materialize(hot.select("doc", "start", "context").mapInArrow(partial(_windows, length=length), "window binary, doc long, start int"), "windows")
-        spent.append(windows)
-        heads = windows.groupBy("window").agg(F.min(F.struct("doc", "start")).alias("first"))
-        marks = marks.unionByName(windows.join(heads, "window").where("doc <> first.doc or start <> first.start").select("doc", "start", F.lit(1).alias("n")))
+    contexts = materialize(contexts.mapInArrow(partial(_contexts, length=length), "anchor long, block long, several boolean, doc long, start int, context binary"), "contexts")
+    dealt = contexts.repartition("anchor", "block").sortWithinPartitions("anchor", "block")
+    found = materialize(dealt.mapInArrow(partial(_sorted_blocks, length=length, block=BLOCK), "doc long, start int, n int, window binary"), "repeats")
+    windows = found.where("window is not null").drop("n")
+    heads = windows.groupBy("window").agg(F.min(F.struct("doc", "start")).alias("first"))
+    merged = windows.join(heads, "window").where("doc <> first.doc or start <> first.start").select("doc", "start", F.lit(1).alias("n"))
+    marks = later.unionByName(found.where("window is null").drop("window")).unionByName(merged)
     marks = materialize(marks.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("marks")), "marks")
-    discard(*spent)
+    discard(runs, first, contexts, found)
     return base.join(marks, "doc", "left").mapInArrow(partial(_digests, length=length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
