@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import io
+import time
 import zipfile
 import zlib
 
@@ -46,6 +47,12 @@ def test_broken_checksum():
     assert media.sniff(bytes(data)) == []
 
 
+def test_many_openings_without_an_end():
+    began = time.perf_counter()
+    assert media.sniff(b"PK\x03\x04%PDF-1.4 " * 60_000) == []
+    assert time.perf_counter() - began < 5
+
+
 def test_round_trip(spark, docs, odd_rows):
     rows = media.read_back(media.store(docs(odd_rows))).collect()
     assert len(rows) == len(odd_rows)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -110,8 +112,22 @@ def _bmp(data: bytes, at: int) -> tuple[str, int] | None:
     return ("image/bmp", at + size) if good else None
 
 
-def _zip(data: bytes, at: int) -> tuple[str, int] | None:
-    end = data.find(b"PK\x05\x06", at)
+class Marks:
+    """Where a mark stands in the data: listed once, so that many openings before one end cost no search each."""
+
+    def __init__(self, data: bytes):
+        self.data, self.known = data, {}
+
+    def after(self, mark: bytes, at: int) -> int:
+        """The first place from `at` on, or -1."""
+        if mark not in self.known:
+            self.known[mark] = [m.start() for m in re.finditer(b"(?=" + re.escape(mark) + b")", self.data)]
+        i = bisect.bisect_left(self.known[mark], at)
+        return self.known[mark][i] if i < len(self.known[mark]) else -1
+
+
+def _zip(data: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
+    end = marks.after(b"PK\x05\x06", at)
     if end < 0 or end + 22 > len(data):
         return None
     count, size, start, note = struct.unpack_from("<HIIH", data, end + 10)
@@ -134,9 +150,9 @@ def _gzip(data: bytes, at: int) -> tuple[str, int] | None:
     return "application/gzip", min(pos, len(data)) - len(inflate.unused_data)
 
 
-def _pdf(data: bytes, at: int) -> tuple[str, int] | None:
-    end = data.find(b"%%EOF", at)
-    return ("application/pdf", end + 5) if end >= 0 and data.find(b"startxref", at, end) >= 0 else None
+def _pdf(data: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
+    end = marks.after(b"%%EOF", at)
+    return ("application/pdf", end + 5) if end >= 0 and 0 <= marks.after(b"startxref", at) <= end - 9 else None
 
 
 def _flac(data: bytes, at: int) -> tuple[str, int] | None:
@@ -159,7 +175,9 @@ def _ogg(data: bytes, at: int) -> tuple[str, int] | None:
     return ("audio/ogg", pos) if at < pos <= len(data) else None
 
 
-VALIDATORS = {"riff": _riff, "image/png": _png, "image/gif": _gif, "image/jpeg": _jpeg, "image/bmp": _bmp, "application/zip": _zip, "application/gzip": _gzip, "application/pdf": _pdf, "audio/flac": _flac, "audio/ogg": _ogg}
+VALIDATORS = {"riff": _riff, "image/png": _png, "image/gif": _gif, "image/jpeg": _jpeg, "image/bmp": _bmp, "application/gzip": _gzip, "audio/flac": _flac, "audio/ogg": _ogg}
+#: Those whose end is a mark further on.
+MARKED = {"application/zip": _zip, "application/pdf": _pdf}
 _automaton = None
 
 
@@ -176,10 +194,10 @@ def automaton() -> ahocorasick.Automaton:
 
 def sniff(data: bytes) -> list[tuple[int, int, str]]:
     """(start, end, type) of each valid file in data, by start; a file inside another one comes after it."""
-    found = []
+    found, marks = [], Marks(data)
     for last, (size, kind) in automaton().iter(data.decode("latin-1")):
         start = last - size + 1
-        if hit := VALIDATORS[kind](data, start):
+        if hit := MARKED[kind](data, start, marks) if kind in MARKED else VALIDATORS[kind](data, start):
             found.append((start, hit[1], hit[0]))
     return sorted(set(found), key=lambda x: (x[0], -x[1]))
 
