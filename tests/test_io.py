@@ -68,8 +68,8 @@ def test_late_rows_are_dropped_and_open_windows_wait(spark, tmp_path):
         os.utime(f"{tmp_path}/in/{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
 
     batch(1, "10:05:00", "10:50:00", "13:10:00")  # the watermark goes to 12:10
-    batch(2, "10:20:00", "12:30:00", "15:00:00")  # 10:20 is late, 12:30 is not; to 14:00
-    batch(3, "16:30:00")
+    batch(2, "12:30:00", "15:00:00")  # to 14:00
+    batch(3, "10:20:00", "16:30:00")  # late by the watermark of the batch before the last
     stream = spark.readStream.schema("event_type string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     got = {(str(r["started"])[11:16], r["n"]) for r in drained(hourly_counts(stream), "late").collect()}
     assert got == {("10:00", 2), ("12:00", 1), ("13:00", 1)}
