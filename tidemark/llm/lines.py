@@ -36,7 +36,8 @@ def drop_lines(docs: DataFrame, ratio: float = RATIO, least: int = LEAST, site_c
     # Whole rows travel as one struct, so no column of theirs can clash with those used here.
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), text.alias("text"), F.coalesce(F.col(f"`{site_col}`").cast("string"), F.lit("\0null")).alias("site"))
     held = rows.select("site", F.explode(F.array_distinct(_keys(F.col("text")))).alias("line")).where("line is not null").groupBy("site", "line").agg(F.count("*").alias("n"))
-    pages = rows.groupBy("site").agg(F.count("*").alias("pages"))
+    # Written first, so that the plan knows its size: few sites are broadcast, and pairs never move to their site's one task.
+    pages = materialize(rows.groupBy("site").agg(F.count("*").alias("pages")), "pages")
     common = held.where(F.col("n") >= least).join(pages, "site").where(F.col("n") > ratio * F.col("pages"))
     common = materialize(common.groupBy("site").agg(F.collect_list("line").alias("common")), "lines")
     out = rows.join(common, "site", "left").withColumn("keys", _keys(F.col("text")))
