@@ -149,3 +149,10 @@ def test_global_rolling_mean(spark):
     for i, t, _ in rows:
         inside = [v for _, u, v in rows if t - dt.timedelta(hours=1) <= u <= t]
         assert got[i] == pytest.approx(sum(inside) / len(inside))
+
+
+def test_dispersion_beyond_longs(spark):
+    """A million items with 5,000 counts each: k N^2 is 2.5e25."""
+    df = spark.range(1_000_000).select(F.when(F.col("id") == 0, 0).otherwise(5000).cast("long").alias("n"))
+    k, total, square = 1_000_000, 5000 * 999_999, 5000**2 * 999_999
+    assert one(M.dispersion(df)) == [pytest.approx(k * (total**2 - square) / (total**2 * (k - 1)), rel=1e-12)]

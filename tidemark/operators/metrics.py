@@ -113,7 +113,8 @@ def concentration(counts: DataFrame, count: str = "n") -> DataFrame:
 
 
 def dispersion(counts: DataFrame, count: str = "n") -> DataFrame:
-    """K (N^2 - sum f^2) / (N^2 (k - 1))."""
-    s = counts.agg(F.count("*").alias("k"), F.sum(count).alias("n"), F.sum(F.col(count) * F.col(count)).alias("s"))
+    """K (N^2 - sum f^2) / (N^2 (k - 1)). Products of counts are doubles: k N^2 of a million items passes the range of longs."""
+    f = F.col(count).cast("double")
+    s = counts.agg(F.count("*").cast("double").alias("k"), F.sum(f).alias("n"), F.sum(f * f).alias("s"))
     k, n = F.col("k"), F.col("n")
     return s.select(F.try_divide(k * (n * n - F.col("s")), n * n * (k - 1)).alias("dispersion"))
