@@ -136,3 +136,23 @@ def test_asked_columns_alone(spark):
     x = matrix(spark, cells)
     whole = {tuple(r) for r in R.similarity(x, "cosine", k=4).collect() if r["j"] in (3, 7)}
     assert {tuple(r) for r in R.similarity(x, "cosine", k=4, asked=spark.createDataFrame([(3,), (7,)], "col long")).collect()} == whole
+
+
+def test_dense_knn_equals_all_pairs(spark):
+    """Small blocks, copies (ties), a zero vector, none at all, ids twice; the shuffle holds k rows a block and row asked for, not a row a component and pair."""
+    from pyspark.sql import functions as F
+
+    rnd = np.random.default_rng(5)
+    v = {i: [float(x) for x in rnd.normal(size=6)] for i in range(90)}
+    v |= {i: v[i % 7] for i in range(60, 75)} | {80: [0.0] * 6, 81: None}
+    rows = [*v.items(), (30, v[31])]
+    size = lambda x: np.sqrt(sum(t * t for t in x))
+    want = []
+    for j in range(0, 90, 10):
+        cell = lambda a, b: None if a is None or b is None else sum(s * t for s, t in zip(a, b, strict=True)) / (size(a) * size(b) + 1e-6)
+        near = [(cell(a, b), i) for i, a in rows for h, b in rows if h == j and i != j]
+        want += [(i, j, None if x is None else round(float(x), 6)) for x, i in sorted(near, key=lambda y: (y[0] is None, -(y[0] or 0), y[1]))[:4]]
+    df = spark.createDataFrame(rows, "article long, vector array<double>").repartition(3)
+    got = R.dense_knn(df, F.col("article") % 10 == 0, 4, block=8 * 6 * 7)
+    assert sorted(map(repr, want)) == sorted(repr((r["i"], r["j"], None if r["value"] is None else round(r["value"], 6))) for r in got.collect())
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
