@@ -7,7 +7,7 @@ from test_queries import DATA, TABLES, rows_of
 from tidemark import plans
 
 
-@pytest.mark.parametrize("version", ["115f", "142", "147"])
+@pytest.mark.parametrize("version", ["115f", "127", "142", "147"])
 def test_rows_are_moved_once_in_the_result(spark, version):
     """The rows to their users, and those users: two shuffles besides joins of small frames; 30 and more when each block was joined for itself."""
     plan = plans.QUERIES[f"q30_features_{version}"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
