@@ -16,14 +16,14 @@ def test_rows_are_moved_once_in_the_result(spark, version):
     assert 1 <= plan.count("Exchange hashpartitioning") <= 2
 
 
-@pytest.mark.parametrize("version", ["115f", "147"])
+@pytest.mark.parametrize("version", ["115f", "127", "147"])
 def test_rows_stand_by_user_in_the_result(spark, version):
     """The result reads its rows in buckets by user and shuffles the users alone, so no shuffle of all rows is on disk beside it."""
     plan = plans.QUERIES[f"q30_features_{version}"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
 
 
-@pytest.mark.parametrize("version", ["115f", "147"])
+@pytest.mark.parametrize("version", ["115f", "127", "147"])
 def test_rounds_change_no_row(spark, monkeypatch, version):
     query = plans.QUERIES[f"q30_features_{version}"]
     want = rows_of(map(tuple, query(spark, DATA).collect()))
