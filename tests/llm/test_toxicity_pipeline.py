@@ -78,6 +78,13 @@ def model(tables):
     return toxicity.fit([toxicity.plain(t) for _, t, y in rows if y], [toxicity.plain(t) for _, t, y in rows if not y])
 
 
+def test_dictionaries_bring_their_tables(model):
+    """Both begin with the same tables for matches, which zstandard then need not build for every window; that for literals has two symbols."""
+    assert model.toxic[:256] == model.ordinary[:256]
+    assert model.toxic[:4] == b"\x37\xa4\x30\xec" and model.toxic[8:10] == b"\x80\x10"
+    assert toxicity.head([]) == b""
+
+
 def plain_score(model, text):
     """One window after the other, each compressed by itself."""
     data = " " + " ".join(re.sub(r"[\W_]", " ", (text or "").lower()).split()) + " "

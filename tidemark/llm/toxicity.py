@@ -29,6 +29,8 @@ SHARED, FIRST, TOXIC_PARTS, ORDINARY_PART = 200_000, 100_000, (8192, 4096, 4096)
 SAMPLED, COUNTER, ORDINARY_WINDOWS = (5, 5, 4), 2, 150_000
 #: zstandard's level, and the segment and substring lengths of its dictionary training.
 LEVEL, SEGMENT, PART = 3, 14, 8
+#: Bytes of the dictionary of ordinary windows whose tables code the matches, and windows that train it.
+HEAD, HEAD_WINDOWS = 1024, 20_000
 #: Bytes saved by which windows are counted, alone and as a mean of NEAR neighbours.
 SAVED, NEAR, MEANS = tuple(range(1, 9)), 5, (1, 1.6, 2.2, 2.8, 3.4, 4.2, 5)
 FOLDS = 5
@@ -60,7 +62,7 @@ def spread(data: bytes) -> bytes:
 
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
     parameters = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
-    found = zstandard.ZstdCompressionDict(content or b"\0" * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    found = zstandard.ZstdCompressionDict(content or b"\0" * 8, dict_type=zstandard.DICT_TYPE_AUTO)
     found.precompute_compress(compression_params=parameters)
     return zstandard.ZstdCompressor(dict_data=found, compression_params=parameters)
 
@@ -82,10 +84,20 @@ def trained(size: int, samples: list[bytes]) -> bytes:
         return b""
 
 
+def head(samples: list[bytes]) -> bytes:
+    """What a dictionary begins with (RFC 8878, 5) so that its tables for matches are ready, where zstandard else builds three for every window: those it
+    trains on the samples. Its table for literals is replaced by one of two symbols, so that bytes without a match are meant to stay as they are."""
+    found = trained(HEAD, samples)
+    if not found:
+        return b""
+    size = found[8] + 1 if found[8] < 128 else (found[8] - 126) // 2 + 1
+    return found[:8] + b"\x80\x10" + found[8 + size :]
+
+
 def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
     """The toxic and the ordinary dictionary.
 
-    Both hold the same ordinary text, so that a window of it compresses to equal lengths, and before the window (nearest, so cheapest) a part of their own
+    Both begin with the same tables and hold the same ordinary text, so that a window of it compresses to equal lengths, and before the window (nearest, so cheapest) a part of their own
     that zstandard trains. The samples of the toxic part are the windows of toxic texts that it makes shorter than ordinary text does: first by
     raw text of the other half of the toxic texts, then by the part trained before. Those of the ordinary part are the windows of
     ordinary texts that the toxic part makes shorter, so what only chance put there counts for nothing.
@@ -98,6 +110,7 @@ def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, byte
     mine = [cut(h) for h in halves]
     theirs = cut(order)
     theirs = rnd.sample(theirs, min(len(theirs), ORDINARY_WINDOWS))
+    shared = head(theirs[:HEAD_WINDOWS]) + shared
     with_ = lambda part: compressor(shared + part)
     raw = [b"".join(h)[:FIRST] for h in reversed(halves)]
     saved = [lengths(with_(other[: len(r)]), m) - lengths(with_(r), m) for m, r in zip(mine, raw, strict=True)]
